@@ -7,11 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters for which str.isspace holds, as a class for Java regular expressions.
-WS = r"[\u0009-\u000d\u001c- \u0085   -     　]"
+#: The characters for which str.isspace holds.
+WS_CHARS = r"\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS, NOT_WS = f"[{WS_CHARS}]", f"[^{WS_CHARS}]"
 
-#: The same for RE2 (DuckDB).
-WS_RE2 = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same as a class of RE2 (DuckDB).
+WS_RE2 = "[" + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", WS_CHARS) + "]"
 
 #: Words are maximal runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -24,7 +25,7 @@ def strip(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """No character but white space; null for null."""
-    return ~c.rlike(r"[^\u0009-\u000d\u001c- \u0085   -     　]")
+    return ~c.rlike(NOT_WS)
 
 
 def estimated_tokens(c: Column) -> Column:
