@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import records, split
+from millrace.llm import leaks, mixing, neardup, records, split
 from millrace.sources.tables import table
 
 
@@ -27,5 +27,31 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.collapse_records(table(spark, folder, "stored_documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records)}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups(table(spark, folder, "stored_documents"), width=3, similarity=0.5, bands=64, rows_per_band=3)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each test item the number of documents that hold a passage of it."""
+    found = leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shortfalls(table(spark, folder, "documents"), table(spark, folder, "mix_plan")).where("misses").select("source")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_plan"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.actual_shares(table(spark, folder, "documents"), table(spark, folder, "mix_plan"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p5_found, p6_found, p6_items, p7_found, p7_mix, p7_shares)}
 ORACLE_SQL: dict[str, str] = {}

@@ -14,7 +14,12 @@ import xxhash
 
 from millrace.functions.text import WORD
 
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+def _step(j: int) -> np.uint64:
+    """j times the golden ratio, modulo 2**64."""
+    return np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -52,7 +57,7 @@ def grams(flat: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray,
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     for j in range(width):
-        h = mix(h + flat[j : j + n] + _GOLDEN * np.uint64(j + 1))
+        h = mix(h + flat[j : j + n] + _step(j + 1))
     start = np.concatenate(([0], np.cumsum(counts)))[:-1]
     inside = row[:n] == row[width - 1 : width - 1 + n]
     at = np.flatnonzero(inside)
@@ -83,7 +88,7 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int, bins: int, common: tup
     """
     raw, h = h, mix(h)
     bin_ = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    value = -np.log(((mix(h ^ _GOLDEN) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
+    value = -np.log(((mix(h ^ _step(1)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
     if common is not None and len(common[0]):
         at = np.minimum(np.searchsorted(common[0], raw), len(common[0]) - 1)
         value = np.where(common[0][at] == raw, value / common[1][at], value)
@@ -100,7 +105,7 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int, bins: int, common: tup
     source_full, source = full.copy(), sig.copy()
     while len(r):
         attempt += 1
-        donor = (mix(b.astype(np.uint64) * np.uint64(0x10001) + np.uint64(attempt) * _GOLDEN) % np.uint64(bins)).astype(np.int64)
+        donor = (mix(b.astype(np.uint64) * np.uint64(0x10001) + _step(attempt)) % np.uint64(bins)).astype(np.int64)
         ok = source_full[r, donor]
         sig[r[ok], b[ok]] = source[r[ok], donor[ok]]
         r, b = r[~ok], b[~ok]
