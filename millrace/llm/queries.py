@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leaks, mixing, neardup, records, split
+from millrace.llm import batches, knn, leaks, mixing, neardup, records, split, truncation
 from millrace.sources.tables import table
 
 
@@ -27,6 +27,18 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.collapse_records(table(spark, folder, "stored_documents"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return batches.repeats(table(spark, folder, "stored_documents"), table(spark, folder, "file_registry"), width=3, similarity=0.5, bands=64, rows_per_band=3)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.similar_pairs(table(spark, folder, "stored_documents"))
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.nearest(table(spark, folder, "stored_documents"), F.col("id") % 50 == 0)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(table(spark, folder, "stored_documents"), width=3, similarity=0.5, bands=64, rows_per_band=3)
 
@@ -53,5 +65,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.actual_shares(table(spark, folder, "documents"), table(spark, folder, "mix_plan"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p5_found, p6_found, p6_items, p7_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p3_found, p4_found, p4_neighbours, p5_found, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
 ORACLE_SQL: dict[str, str] = {}
