@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import WS_RE2
 from millrace.llm import batches, knn, leaks, mixing, neardup, records, split, truncation
 from millrace.sources.tables import table
 
@@ -74,4 +75,24 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p3_found, p4_found, p4_neighbours, p5_found, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
-ORACLE_SQL: dict[str, str] = {}
+
+_PASSAGES = r"""WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
+ig AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(w[p : p + least(len(w), 12) - 1], ' ') AS g FROM i, unnest(range(1, len(w) - least(len(w), 12) + 2)) AS r(p) WHERE len(w) > 0),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM ig) AS l, unnest(range(1, len(w) - n + 2)) AS r(p)),
+f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
+"""
+
+#: SQL states what a query finds, not how. The tokens of problem 7 are replaced by characters, which give the same list.
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"""WITH o AS (SELECT DISTINCT id, content FROM queue_items WHERE regexp_replace(content, '{WS_RE2}+', '', 'g') <> '' AND length(content) // 4 > 500),
+t AS (SELECT id, content, regexp_split_to_array(content, '{WS_RE2}') AS parts FROM o),
+u AS (SELECT id, content, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM t),
+r AS (SELECT id, content, length(part) AS n, sum(length(part) + 1) OVER (PARTITION BY id, content ORDER BY i) - length(part) - 1 AS start FROM u),
+h AS (SELECT id, content, start FROM r WHERE n > 2000)
+SELECT DISTINCT id, start::BIGINT AS hard_run FROM h UNION SELECT id, -1::BIGINT FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = o.id AND h.content = o.content)""",
+    "p6_found": _PASSAGES + "SELECT doc_id, item_id FROM f",
+    "p7_found": """WITH p AS (SELECT min(source) AS name, lower(trim(source)) AS k, max(target_share) AS s, max(max_repeats) AS r FROM mix_plan WHERE target_share > 0 GROUP BY 2),
+t AS (SELECT lower(trim(source)) AS k, sum(length(text)) AS n FROM documents GROUP BY 1), j AS (SELECT name, s, r, coalesce(n, 0) AS n FROM p LEFT JOIN t ON t.k = p.k)
+SELECT name AS source FROM j WHERE n * r < s * (SELECT sum(n) FROM j)""",
+}
