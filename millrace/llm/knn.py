@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import written
 
-TREES, DIMS, LEAF, SAMPLE, CONFIDENCE, SLICE = 12, 8, 384, 20_000, 0.98, 4096
+TREES, DIMS, LEAF, SAMPLE, CONFIDENCE, SLICE = 12, 16, 384, 20_000, 0.98, 4096
 
 
 def chi_square(p: float, dims: int) -> float:
@@ -108,16 +108,17 @@ def leaf_neighbours(v: np.ndarray, p: np.ndarray, k: int, farthest: float, facto
 
     v: unit vectors; p: their projections; factor: the chi-square quantile of the stopping test.
     """
-    sq = (p * p).sum(axis=1)
-    near = sq[:, None] + sq[None, :] - 2 * (p @ p.T)
-    np.fill_diagonal(near, np.inf)
-    q, x = np.nonzero(near <= farthest * factor)
+    # one product gives all squared distances: (-2p, |p|^2, 1) . (p', 1, |p'|^2)
+    n, sq, one = len(p), (p * p).sum(axis=1, keepdims=True), np.ones((len(p), 1), np.float32)
+    near = (np.concatenate((-2 * p, sq, one), axis=1) @ np.concatenate((p, one, sq), axis=1).T).ravel()
+    near[:: n + 1] = np.inf
+    found = np.flatnonzero(near <= farthest * factor)
+    q, x = np.divmod(found, n)
     if not len(q):
         return q, x
-    order = np.lexsort((near[q, x], q))
-    q, x = q[order], x[order]
-    start = np.searchsorted(q, q)
-    place, gap = np.arange(len(q)) - start, near[q, x]
+    order = np.lexsort((near[found], q))
+    q, x, gap = q[order], x[order], near[found][order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
     best = np.full((len(v), k), np.inf, np.float32)
     got = np.full(len(q), np.inf, np.float32)
     step = 16
