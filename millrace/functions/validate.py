@@ -81,7 +81,7 @@ def suspicious(content: Column) -> dict[str, Column]:
 def identifier_state(name: Column) -> Column:
     """'invalid', 'too_long', 'keyword' or 'ok'."""
     return (
-        F.when(~F.coalesce(name.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$"), F.lit(False)), "invalid").when(F.char_length(name) > MAX_IDENTIFIER, "too_long").when(F.lower(name).isin(*KEYWORDS), "keyword").otherwise("ok")
+        F.when(~F.coalesce(name.rlike(r"\A[a-zA-Z_][a-zA-Z0-9_]*\z"), F.lit(False)), "invalid").when(F.char_length(name) > MAX_IDENTIFIER, "too_long").when(F.lower(name).isin(*KEYWORDS), "keyword").otherwise("ok")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.config import Settings
 from millrace.operators import embed, parse, registry
 from millrace.operators.embed import Embedder
+from millrace.session import scan
 from millrace.sources import files
 
 DOCUMENTS = "id bigint, content string, tags array<string>, created_at timestamp, embedding array<float>, file_path string, chunk_index int, batch int"
@@ -29,12 +30,7 @@ class Store:
     root: str
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+        return scan(self.spark, schema, f"{self.root}/{name}")
 
     def registry(self) -> DataFrame:
         """The last record of each file."""

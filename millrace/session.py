@@ -51,6 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scan(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """The Parquet rows under those of the paths that exist; a write of no rows in partitions leaves none."""
+    conf, there = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
+        if p.getFileSystem(conf).exists(p):
+            there.append(p.toString())
+    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's folder under the shared folder, once its results have been read."""
     jvm = spark.sparkContext._jvm
