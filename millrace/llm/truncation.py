@@ -4,8 +4,8 @@ Texts are split into segments at line breaks and after sentence stops. Every run
 follows) or at the end of a segment; numbers count as one number. A text whose last segment is open (no stop, no line break after
 its last word) is a candidate. It is cut
 - if its final trigram, or where that is rare its final bigram, is known from inside but almost never ends a segment or a text;
-- if its final bigram is not known at all (a word cut in the middle), and no other texts end in it;
-- if its length in characters or bytes is one at which the texts of its source pile up (a field limit);
+- if its final bigram is not known at all (a word cut in the middle), and no good share of the open texts ends in it;
+- if its length in characters or bytes is one at which the texts of its source pile up, most of them unfinished (a field limit);
 - if it ends in half a character or half a character entity (a broken transfer).
 So headings, list items, log lines, table rows, signatures and links are whole where their last words are seen to end things.
 
@@ -30,6 +30,10 @@ PILE_LEAST, PILE_TIMES, PILE_AROUND = 5, 6, 20
 #: An n-gram is known if it is counted so often; it ends nothing if its share of ends is below the limit.
 KNOWN, ENDS_SHARE = 4, 0.04
 
+#: Open ends speak for each other (a signature, say) only if they are such a share of all open ends, and more than OPEN_LEAST:
+#: the same word cut at the same letter comes again too, but is one of very many.
+OPEN_SHARE, OPEN_LEAST = 0.005, 3
+
 #: Ends of segments: a stop with closing quotes or brackets before white space or the end, or a line break.
 ENDS = r"[.!?。！？]+[\x22\x27»”’)\]]*(?=[WS]|$)|[\n\r  ]+".replace("WS", WS_CHARS)
 
@@ -70,36 +74,41 @@ from (select stack(2, h3, ends, h2, ends) as (h, ends) from hits)
 group by h
 """
 
-#: Lengths at which the distinct texts of a source pile up, by characters and by bytes, among texts with an open end. A text
-#: without a source is held against the piles of all.
-PILES = f"""
+#: What the final n-grams say of each open end; verdict is null for a whole text.
+JUDGED = f"""
+with ended as (select xxhash64(a, b, c) as h3, xxhash64(b, c) as h2, * from $tails),
+enough as (select greatest({OPEN_LEAST}, {OPEN_SHARE} * count(distinct text_hash)) as least from ended),
+last3 as (select h3, if(n > (select least from enough), n - 1, 0) as n from (select h3, count(distinct text_hash) as n from ended group by h3)),
+last2 as (select h2, if(n > (select least from enough), n - 1, 0) as n from (select h2, count(distinct text_hash) as n from ended group by h2)),
+counted as (
+  select e.*, coalesce(c3.inside, 0) as inside3, coalesce(c3.ends, 0) + last3.n as ends3, coalesce(c2.inside, 0) as inside2, coalesce(c2.ends, 0) + last2.n as ends2
+  from ended e join last3 using (h3) join last2 using (h2) left join $counts c3 on c3.h = e.h3 left join $counts c2 on c2.h = e.h2)
+select doc_id, source, chars, bytes, text_hash, broken, inside3, ends3, inside2, ends2,
+       case when inside3 + ends3 >= {KNOWN} then case when ends3 < {ENDS_SHARE} * (inside3 + ends3) then 'unfinished sentence' end
+            when inside2 + ends2 >= {KNOWN} then case when ends2 < {ENDS_SHARE} * (inside2 + ends2) then 'unfinished sentence' end
+            else 'unfinished word' end as verdict
+from counted
+"""
+
+#: Lengths at which the distinct texts of a source pile up, by characters and by bytes, and at which most texts with an open end
+#: are unfinished: field limits. A text without a source is held against those of all.
+LIMITS = f"""
 with lengths as (
-  select source, unit, length, count(distinct text_hash) as n
-  from (select source, text_hash, stack(2, 'chars', chars, 'bytes', bytes) as (unit, length) from $tails)
+  select source, unit, length, count(distinct text_hash) as n, avg(if(verdict is null, 0, 1)) as unfinished
+  from (select source, text_hash, verdict, stack(2, 'chars', chars, 'bytes', bytes) as (unit, length) from $judged)
   group by source, unit, length)
 select distinct stack(2, source, unit, length, null, unit, length) as (source, unit, length)
 from (select *, sum(n) over (partition by source, unit order by length range between {PILE_AROUND} preceding and {PILE_AROUND} following)
               - sum(n) over (partition by source, unit order by length range between 3 preceding and 3 following) as around from lengths)
-where n >= {PILE_LEAST} and n >= {PILE_TIMES} * around / (2 * {PILE_AROUND} - 6)
+where n >= {PILE_LEAST} and n >= {PILE_TIMES} * around / (2 * {PILE_AROUND} - 6) and unfinished >= 0.5
 """
 
-CUT = f"""
-with ended as (select xxhash64(a, b, c) as h3, xxhash64(b, c) as h2, * from $tails),
-last3 as (select h3, count(distinct text_hash) as n from ended group by h3),
-last2 as (select h2, count(distinct text_hash) as n from ended group by h2),
-judged as (
-  select e.*, coalesce(c3.inside, 0) as inside3, coalesce(c3.ends, 0) + last3.n - 1 as ends3, coalesce(c2.inside, 0) as inside2, coalesce(c2.ends, 0) + last2.n - 1 as ends2,
-         pc.length is not null or pb.length is not null as piled
-  from ended e join last3 using (h3) join last2 using (h2)
-  left join $counts c3 on c3.h = e.h3 left join $counts c2 on c2.h = e.h2
-  left join $piles pc on pc.unit = 'chars' and pc.source <=> e.source and pc.length = e.chars
-  left join $piles pb on pb.unit = 'bytes' and pb.source <=> e.source and pb.length = e.bytes)
-select doc_id, inside3, ends3, inside2, ends2, piled, broken,
-       case when broken then 'broken transfer' when piled then 'field limit'
-            when inside3 + ends3 >= {KNOWN} then case when ends3 < {ENDS_SHARE} * (inside3 + ends3) then 'unfinished sentence' end
-            when inside2 + ends2 >= {KNOWN} then case when ends2 < {ENDS_SHARE} * (inside2 + ends2) then 'unfinished sentence' end
-            else 'unfinished word' end as evidence
-from judged
+CUT = """
+select j.doc_id, inside3, ends3, inside2, ends2, verdict, broken, by_chars.length is not null or by_bytes.length is not null as limited,
+       case when broken then 'broken transfer' when by_chars.length is not null or by_bytes.length is not null then 'field limit' else verdict end as evidence
+from $judged j
+left join $limits by_chars on by_chars.unit = 'chars' and by_chars.source <=> j.source and by_chars.length = j.chars
+left join $limits by_bytes on by_bytes.unit = 'bytes' and by_bytes.source <=> j.source and by_bytes.length = j.bytes
 """
 
 
@@ -114,7 +123,8 @@ def _run(sql: str, **tables: DataFrame) -> DataFrame:
 
 
 def judged_ends(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, inside3, ends3, inside2, ends2, piled, broken, evidence) of every text with an open end; evidence is null for a whole one.
+    """(doc_id, inside3, ends3, inside2, ends2, verdict, broken, limited, evidence) of every text with an open end; evidence is null for a
+    whole one.
 
     Null ids and texts and texts without an open end (empty ones too) are left out; a null source is a source of its own. Repeated
     texts count once as ends. Other columns are ignored; an empty table gives an empty result.
@@ -122,7 +132,8 @@ def judged_ends(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     docs = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{source}` as source", f"`{text}` as text")
     tails = written(_run(TAILS, docs=docs), "tails")
     counts = written(_run(COUNTS, docs=docs, tails=tails), "counts")
-    return _run(CUT, tails=tails, counts=counts, piles=_run(PILES, tails=tails))
+    judged = written(_run(JUDGED, tails=tails, counts=counts), "judged")
+    return _run(CUT, judged=judged, limits=_run(LIMITS, judged=judged))
 
 
 def cut_texts(docs: DataFrame, **columns: str) -> DataFrame:
