@@ -2,11 +2,13 @@
 
 Texts are split into segments at line breaks and after sentence stops. Every run of three words of a segment is counted, inside (a word
 follows) or at the end of a segment; numbers count as one number. A text whose last segment is open (no stop, no line break after
-its last word) is a candidate. It is cut
+its last word) is a candidate; an ellipsis at the very end, bracketed or not, may be the mark of a field limit and is taken off
+before. It is cut
 - if its final trigram, or where that is rare its final bigram, is known from inside but almost never ends a segment or a text;
 - if its final bigram is not known at all (a word cut in the middle), and no good share of the open texts ends in it;
-- if its length in characters or bytes is one at which the texts of its source pile up, most of them unfinished (a field limit);
-- if it ends in half a character or half a character entity (a broken transfer).
+- if its length in characters or bytes is one at which the texts of its source pile up, most open ones unfinished (a field limit);
+  before an ellipsis, even if a sentence ends there;
+- if it ends in half a character or half a character entity (a broken transfer), whatever stands before that.
 So headings, list items, log lines, table rows, signatures and links are whole where their last words are seen to end things.
 
 Only final n-grams are counted: the tasks hold their trigrams against the hash buckets of the candidates' final bigrams, at most
@@ -15,6 +17,7 @@ BUCKETS numbers, and shuffle what passes. Every count is over all texts.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -40,17 +43,24 @@ ENDS = r"[.!?。！？]+[\x22\x27»”’)\]]*(?=[WS]|$)|[\n\r  ]+".replace(
 #: Half a character, or the beginning (fixed values) of a character entity.
 HALF = r"(?:�|&(?:a|am|amp|l|lt|g|gt|q|qu|quo|quot|n|nb|nbs|nbsp|#[0-9]*)?)$"
 
-SEGMENTS = f"split(regexp_replace(lower(text), '[0-9]+', '0'), r'{ENDS}')"
+#: The white space of WS_CHARS as characters.
+SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{WS_CHARS}]", c))
+
+#: An ellipsis at the very end, as a field limit may leave it, with brackets and white space around.
+MARK = r"[WS]*[\[(]?(?:\.{3,}|…)[\])]?[WS]*$".replace("WS", WS_CHARS)
+MARKED = rf"right(trim(trailing '{SPACES}' from text), 4) rlike r'(?:[.]{{3}}|…)[\])]?$'"
+BODY = f"if({MARKED}, regexp_replace(text, r'{MARK}', ''), text)"
+
+SEGMENTS = f"split(regexp_replace(lower({BODY}), '[0-9]+', '0'), r'{ENDS}')"
 WORDS = r"regexp_extract_all(segment, r'[\p{L}\p{N}]+', 0)"
 
-#: The open last segment of each text: its last three words (^ before its first).
+#: The open last segment of each text: its last three words (^ before its first); c is null where no segment is open.
 TAILS = f"""
-select doc_id, source, chars, bytes, broken, text_hash, w[size(w) - 1] as c, coalesce(try_element_at(w, -2), '^') as b, coalesce(try_element_at(w, -3), '^') as a
+select doc_id, source, chars, bytes, broken, marked, text_hash, try_element_at(w, -1) as c, coalesce(try_element_at(w, -2), '^') as b, coalesce(try_element_at(w, -3), '^') as a
 from (select *, {WORDS} as w
       from (select doc_id, lower(trim(source)) as source, char_length(text) as chars, octet_length(text) as bytes, xxhash64(text) as text_hash,
-                   rtrim(text) rlike r'{HALF}' as broken, element_at({SEGMENTS}, -1) as segment
+                   rtrim(text) rlike r'{HALF}' or {MARKED} and rtrim({BODY}) rlike r'{HALF}' as broken, {MARKED} as marked, element_at({SEGMENTS}, -1) as segment
             from $docs where doc_id is not null and text is not null))
-where size(w) > 0
 """
 
 #: Every word of the closed segments with the two before and the one after it ($ after the last).
@@ -68,34 +78,35 @@ COUNTS = f"""
 with hits as (
   select /*+ broadcast(wanted) */ xxhash64(a, b, c) as h3, xxhash64(b, c) as h2, cast(d = '$' as int) as ends
   from ({TRIGRAMS})
-  left semi join (select distinct pmod(xxhash64(b, c), {BUCKETS}) as bucket from $tails) wanted on pmod(xxhash64(b, c), {BUCKETS}) = bucket)
+  left semi join (select distinct pmod(xxhash64(b, c), {BUCKETS}) as bucket from $tails where c is not null) wanted on pmod(xxhash64(b, c), {BUCKETS}) = bucket)
 select h, count(*) - sum(ends) as inside, sum(ends) as ends
 from (select stack(2, h3, ends, h2, ends) as (h, ends) from hits)
 group by h
 """
 
-#: What the final n-grams say of each open end; verdict is null for a whole text.
+#: What the final n-grams say of each open end; verdict is null for a whole text and where none is open.
 JUDGED = f"""
 with ended as (select xxhash64(a, b, c) as h3, xxhash64(b, c) as h2, * from $tails),
-enough as (select greatest({OPEN_LEAST}, {OPEN_SHARE} * count(distinct text_hash)) as least from ended),
+enough as (select greatest({OPEN_LEAST}, {OPEN_SHARE} * count(distinct text_hash)) as least from ended where c is not null),
 last3 as (select h3, if(n > (select least from enough), n - 1, 0) as n from (select h3, count(distinct text_hash) as n from ended group by h3)),
 last2 as (select h2, if(n > (select least from enough), n - 1, 0) as n from (select h2, count(distinct text_hash) as n from ended group by h2)),
 counted as (
   select e.*, coalesce(c3.inside, 0) as inside3, coalesce(c3.ends, 0) + last3.n as ends3, coalesce(c2.inside, 0) as inside2, coalesce(c2.ends, 0) + last2.n as ends2
   from ended e join last3 using (h3) join last2 using (h2) left join $counts c3 on c3.h = e.h3 left join $counts c2 on c2.h = e.h2)
-select doc_id, source, chars, bytes, text_hash, broken, inside3, ends3, inside2, ends2,
-       case when inside3 + ends3 >= {KNOWN} then case when ends3 < {ENDS_SHARE} * (inside3 + ends3) then 'unfinished sentence' end
+select doc_id, source, chars, bytes, text_hash, broken, marked, c is not null as open, inside3, ends3, inside2, ends2,
+       case when c is null then null
+            when inside3 + ends3 >= {KNOWN} then case when ends3 < {ENDS_SHARE} * (inside3 + ends3) then 'unfinished sentence' end
             when inside2 + ends2 >= {KNOWN} then case when ends2 < {ENDS_SHARE} * (inside2 + ends2) then 'unfinished sentence' end
             else 'unfinished word' end as verdict
 from counted
 """
 
-#: Lengths at which the distinct texts of a source pile up, by characters and by bytes, and at which most texts with an open end
-#: are unfinished: field limits. A text without a source is held against those of all.
+#: Lengths at which the distinct texts of a source (all, open or not) pile up, by characters and by bytes, and at which most texts
+#: with an open end or an ellipsis are unfinished: field limits. A text without a source is held against those of all.
 LIMITS = f"""
 with lengths as (
-  select source, unit, length, count(distinct text_hash) as n, avg(if(verdict is null, 0, 1)) as unfinished
-  from (select source, text_hash, verdict, stack(2, 'chars', chars, 'bytes', bytes) as (unit, length) from $judged)
+  select source, unit, length, count(distinct text_hash) as n, avg(case when open or marked then if(open and verdict is null, 0, 1) end) as unfinished
+  from (select source, text_hash, verdict, open, marked, stack(2, 'chars', chars, 'bytes', bytes) as (unit, length) from $judged)
   group by source, unit, length)
 select distinct stack(2, source, unit, length, null, unit, length) as (source, unit, length)
 from (select *, sum(n) over (partition by source, unit order by length range between {PILE_AROUND} preceding and {PILE_AROUND} following)
@@ -104,9 +115,9 @@ where n >= {PILE_LEAST} and n >= {PILE_TIMES} * around / (2 * {PILE_AROUND} - 6)
 """
 
 CUT = """
-select j.doc_id, inside3, ends3, inside2, ends2, verdict, broken, by_chars.length is not null or by_bytes.length is not null as limited,
-       case when broken then 'broken transfer' when by_chars.length is not null or by_bytes.length is not null then 'field limit' else verdict end as evidence
-from $judged j
+select j.doc_id, inside3, ends3, inside2, ends2, verdict, broken, coalesce(by_chars.length, by_bytes.length) is not null and (open or marked) as limited,
+       case when broken then 'broken transfer' when coalesce(by_chars.length, by_bytes.length) is not null and (open or marked) then 'field limit' else verdict end as evidence
+from (select * from $judged where open or marked or broken) j
 left join $limits by_chars on by_chars.unit = 'chars' and by_chars.source <=> j.source and by_chars.length = j.chars
 left join $limits by_bytes on by_bytes.unit = 'bytes' and by_bytes.source <=> j.source and by_bytes.length = j.bytes
 """
@@ -123,10 +134,10 @@ def _run(sql: str, **tables: DataFrame) -> DataFrame:
 
 
 def judged_ends(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, inside3, ends3, inside2, ends2, verdict, broken, limited, evidence) of every text with an open end; evidence is null for a
-    whole one.
+    """(doc_id, inside3, ends3, inside2, ends2, verdict, broken, limited, evidence) of every text with an open end, an ellipsis at its end
+    or a broken one; evidence is null for a whole one.
 
-    Null ids and texts and texts without an open end (empty ones too) are left out; a null source is a source of its own. Repeated
+    Null ids and texts and texts with none of these (empty ones too) are left out; a null source is a source of its own. Repeated
     texts count once as ends. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{source}` as source", f"`{text}` as text")

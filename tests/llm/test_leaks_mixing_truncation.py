@@ -140,3 +140,16 @@ def test_cut_texts(spark):
     rates = {r.source: r for r in truncation.cut_rates(d).collect()}
     assert set(rates) == {"a", "limited", None} and rates["limited"].rate > 0.5 and rates[None].cut == 0
     assert truncation.cut_texts(d.where("false")).count() == 0 and truncation.cut_rates(d.where("false")).count() == 0
+
+
+def test_texts_cut_with_a_mark_and_broken_ones_after_a_stop(spark):
+    rows, cut = cut_data()
+    body = " ".join(t for i, _, t in rows if t and i % 10 > 4)
+    for j in range(30):  # cut at one length, and marked
+        mark = ["...", " [...]", "…"][j % 3]
+        rows.append((9000 + j, "marking", body[301 * j : 301 * j + 300] + mark))
+    rows += [(9100, "a", "A whole text. \ufffd"), (9101, "a", "A whole text. &am")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = {r.doc_id: r.evidence for r in truncation.cut_texts(d).collect()}
+    assert all(got.get(9000 + j) == "field limit" for j in range(30))
+    assert got.get(9100) == got.get(9101) == "broken transfer" and 8003 not in got
