@@ -7,6 +7,9 @@ tree. Within a leaf a vector meets its neighbours in the order of projected dist
 far away that a closer vector would have been met with probability CONFIDENCE (chi-square test on the k-th best distance so far,
 or on the largest distance asked for).
 
+A row that has more neighbours within the asked distance than a leaf can rank (a dense cluster) is searched exactly as well: on
+its float32 vector, against all classes (block_search).
+
 Equal unit vectors are one class and enter the trees once, so that no number of copies can fill a leaf; leaves of different
 vectors hold equal shares of the sample and are split on in the task by local medians. What travels to the leaves are 8-bit codes;
 pairs found are computed again from the vectors themselves.
@@ -103,8 +106,9 @@ def local_leaves(points: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def leaf_neighbours(v: np.ndarray, p: np.ndarray, k: int, farthest: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, neighbour) within a leaf: up to k neighbours of each within squared distance `farthest`.
+def leaf_neighbours(v: np.ndarray, p: np.ndarray, k: int, farthest: float, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (query, neighbour) within a leaf: up to k neighbours of each within squared distance `farthest`; and the rows
+    that have more than k so near, which a leaf cannot rank.
 
     v: unit vectors; p: their projections; factor: the chi-square quantile of the stopping test.
     """
@@ -115,7 +119,7 @@ def leaf_neighbours(v: np.ndarray, p: np.ndarray, k: int, farthest: float, facto
     found = np.flatnonzero(near <= farthest * factor)
     q, x = np.divmod(found, n)
     if not len(q):
-        return q, x
+        return q, x, q
     order = np.lexsort((near[found], q))
     q, x, gap = q[order], x[order], near[found][order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -137,7 +141,7 @@ def leaf_neighbours(v: np.ndarray, p: np.ndarray, k: int, farthest: float, facto
         add[q[i], place[i] - first] = got[i]
         best = np.sort(np.concatenate((best, add), axis=1), axis=1)[:, :k]
     keep = got <= np.minimum(best[q, k - 1], farthest) + 1e-6
-    return q[keep], x[keep]
+    return q[keep], x[keep], np.flatnonzero(np.bincount(q[got <= farthest], minlength=n) > k)
 
 
 def _codes(u: np.ndarray) -> list[bytes]:
@@ -166,15 +170,22 @@ def class_pairs(classes: DataFrame, width: int, k: int, min_cosine: float) -> Da
         v = np.frombuffer(b"".join(cell["code"].to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
         v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
         p = v @ projection(int(cell["cell"][0].as_py()) >> 32, width, DIMS)
-        a, b = [], []
+        a, b, dense = [], [], []
         for rows in local_leaves(p, 2 * LEAF):
-            q, x = leaf_neighbours(v[rows], p[rows], k + 3, farthest, factor)
-            a.append(ids[rows[q]]), b.append(ids[rows[x]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            q, x, full = leaf_neighbours(v[rows], p[rows], k + 3, farthest, factor)
+            a.append(ids[rows[q]]), b.append(ids[rows[x]]), dense.append(ids[rows[full]])
+        a, b, dense = np.concatenate(a), np.concatenate(b), np.concatenate(dense)
+        low, high = np.concatenate((np.minimum(a, b), dense)), np.concatenate((np.maximum(a, b), dense))
+        return pa.table({"a": low, "b": pa.array(high, mask=np.arange(len(low)) >= len(a))})
 
     placed = classes.select("rep", "unit").mapInArrow(place, "cell long, rep long, code binary")
-    pairs = placed.groupBy("cell").applyInArrow(meet, "a long, b long").distinct()
+    pairs = written(placed.groupBy("cell").applyInArrow(meet, "a long, b long").distinct(), "pairs")
+    vectors = classes.select(F.col("rep").alias("id"), "unit")
+    dense = written(vectors.join(pairs.where("b is null").select(F.col("a").alias("id")), "id", "left_semi"), "dense")
+    pairs = pairs.where("b is not null")
+    if not dense.isEmpty():
+        exact = block_search(vectors, dense, k, width).where(F.col("cosine") >= min_cosine)
+        pairs = pairs.unionByName(exact.select(F.least("id", "neighbour_id").alias("a"), F.greatest("id", "neighbour_id").alias("b"))).distinct()
     return cosines(pairs, classes.select(F.col("rep").alias("id"), "unit"), width).where(F.col("cosine") >= min_cosine)
 
 
@@ -222,9 +233,13 @@ def nearest(docs: DataFrame, queries: Column, k: int = 5, width: int = 64, id: s
     rows by a kd-tree over the projections and meets the leaves by their distance; a query skips a leaf when its box is farther than
     the stopping test of its k-th best similarity so far allows. Null and unusable vectors as in similar_pairs; ties rank by id.
     """
-    spark = docs.sparkSession
     rows = written(units(docs, width, id, embedding).select("id", "unit"), "units")
-    asked = rows.where(queries)
+    return block_search(rows, rows.where(queries), k, width)
+
+
+def block_search(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataFrame:
+    """(id, neighbour_id, rank, cosine): nearest() for unit vectors (id, unit), of all those asked."""
+    spark = rows.sparkSession
     total = asked.count()
     numbered = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, ceil(total / (SLICE * 0.9))))))
     r, factor = projection(0, width, DIMS), chi_square(CONFIDENCE, DIMS)
