@@ -8,7 +8,8 @@ far away that a closer vector would have been met with probability CONFIDENCE (c
 or on the largest distance asked for).
 
 A row that has more neighbours within the asked distance than a leaf can rank (a dense cluster) is searched exactly as well: on
-its float32 vector, against all classes (block_search).
+its float32 vector, against all classes (block_search), ties by id. So are copies of one direction in many lengths, whose unit
+vectors differ in their last bits.
 
 Equal unit vectors are one class and enter the trees once, so that no number of copies can fill a leaf; leaves of different
 vectors hold equal shares of the sample and are split on in the task by local medians. What travels to the leaves are 8-bit codes;
@@ -251,25 +252,28 @@ def block_search(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataF
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q, qp = shared.value
-            best, name = np.full((len(qid), k), -np.inf, np.float32), np.full((len(qid), k), -1, np.int64)
+            best, name = np.full((len(qid), k), -np.inf), np.full((len(qid), k), -1, np.int64)
             for batch in batches:
                 bid, v = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
                 p = v @ r
                 for own in local_leaves(p, 1024):
                     low, high = p[own].min(axis=0), p[own].max(axis=0)
                     box = (np.maximum(0, np.maximum(low - qp, qp - high)) ** 2).sum(axis=1)
-                    go = np.flatnonzero(box <= np.where(np.isfinite(best[:, -1]), 2 - 2 * best[:, -1], np.inf) * factor)
+                    go = np.flatnonzero(box <= np.where(np.isfinite(best[:, -1]), 2 - 2 * best[:, -1] + 2e-6, np.inf) * factor + 1e-5)
                     if not len(go):
                         continue
                     c = q[go] @ v[own].T
                     c[qid[go][:, None] == bid[own][None, :]] = -np.inf
-                    top = np.argpartition(-c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
+                    # by the 6 digits that ties are told by, then by id: also of very many equal ones (copies of any length) the first are kept
+                    c = np.round(c.astype(np.float64), 6)
+                    order = np.argsort(np.argsort(bid[own]))
+                    top = np.argpartition(order / (len(order) * 1e6) - c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
                     c = np.concatenate((best[go], np.take_along_axis(c, top, 1)), axis=1)
                     n = np.concatenate((name[go], bid[own][top]), axis=1)
                     order = np.lexsort((n, -c), axis=1)[:, :k]
                     best[go], name[go] = np.take_along_axis(c, order, 1), np.take_along_axis(n, order, 1)
             ok = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[ok.ravel()]), pa.array(name[ok]), pa.array(best[ok].astype(np.float64))], names=["id", "neighbour_id", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[ok.ravel()]), pa.array(name[ok]), pa.array(best[ok])], names=["id", "neighbour_id", "cosine"])
 
         found = rows.mapInArrow(search, "id long, neighbour_id long, cosine double")
         out = found if out is None else out.unionByName(found)

@@ -53,15 +53,25 @@ def test_copies_are_one_class(spark):
     assert got == want and len(got) == 15 + 5 * 14 + 0  # every copy with the first five others
 
 
-def test_a_third_in_one_dense_cluster(spark):
+def test_a_third_in_one_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 32)  # as many leaves in the cluster as LEAF gives one of 24,000
     rng = np.random.default_rng(4)
     v = rng.standard_normal((6000, 64)).astype("f4")
-    v[::3] = v[0] + 0.15 * rng.standard_normal((2000, 64))
+    v[::3] = v[0] + 0.03 * rng.standard_normal((2000, 64))
     want, _ = brute(v)
     got = {(r.id_a, r.id_b) for r in knn.similar_pairs(frame(spark, v).repartition(4)).collect()}
     assert len(want) > 5000 and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_copies_of_any_length_rank_by_id(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 64)).astype("f4")
+    v[::3] = v[0] * rng.uniform(0.1, 9, (1000, 1)).astype("f4")
+    want, _ = brute(v)
+    got = {(r.id_a, r.id_b) for r in knn.similar_pairs(frame(spark, v).repartition(4)).collect()}
+    assert got == want and len(want) == 15 + 5 * 994
+
+
 def test_nearest_of_stated_queries(spark):
     v = vectors(2000, 3)
     _, top = brute(v)
