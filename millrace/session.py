@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "millrace", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -26,10 +27,13 @@ def local_session(app: str = "millrace", cpus: str | int = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which every executor can reach.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and remembered in the session's settings.
+    Where it is unset, a temporary folder is made and remembered in the session's settings, but only on one machine: no other could
+    read what is written there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -51,17 +55,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, path: str, *by: str) -> int:
+    """Write df to path, overwriting it, in subfolders by the given columns; returns the number of rows, which the write itself counts."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+    return seen.get["n"]
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is read no more."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def marked_done(spark: SparkSession, path: str, text: str = "") -> None:
+    """Create a small file, which shows to every reader at once that what it stands for is complete. It replaces an earlier one."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def marks(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Names and texts of the files that marked_done left in a folder."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return {}
+    out = {}
+    for status in fs.listStatus(p):
+        stream = fs.open(status.getPath())
+        try:
+            out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+    return out
+
+
 def scan(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """The Parquet rows under those of the paths that exist; a write of no rows in partitions leaves none."""
-    conf, there = spark.sparkContext._jsc.hadoopConfiguration(), []
-    for p in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
-        if p.getFileSystem(conf).exists(p):
-            there.append(p.toString())
+    there = [p for p in paths if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
     return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's folder under the shared folder, once its results have been read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    dropped(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
