@@ -96,10 +96,16 @@ def marks(spark: SparkSession, folder: str) -> dict[str, str]:
     return out
 
 
-def scan(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
-    """The Parquet rows under those of the paths that exist; a write of no rows in partitions leaves none."""
+def scan(spark: SparkSession, schema: str, *paths: str, base: str | None = None) -> DataFrame:
+    """The Parquet rows under those of the paths that exist; a write of no rows in partitions leaves none. base: the folder below
+    which parts of a path like `part=3` are columns, if the schema names them."""
     there = [p for p in paths if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
-    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+    if not there:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    if base is None:
+        return reader.parquet(*there)
+    return reader.option("basePath", base).parquet(*there).select(*(f"`{c.strip().split()[0]}`" for c in schema.split(",")))
 
 
 def drop_scratch(spark: SparkSession) -> None:
