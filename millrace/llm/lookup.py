@@ -1,0 +1,22 @@
+"""Rows of a large table that a small one asks for, found without shuffling the large one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bits of the map that asked keys are marked in; as words of 64 bits it has at most BITS / 64 rows (some 4 MB).
+BITS = 1 << 23
+
+
+def marked(rows: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
+    """The rows whose key is marked in a bit map of the keys asked for: all that are asked for, and few others.
+
+    The map is built in the tasks and broadcast; its size is bounded by BITS. So the rows are only read, and what is shuffled
+    afterwards follows the number of keys asked for. So many keys that they mark every bit let all rows pass.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+    words = asked.select(F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("at"))
+    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
+    found = rows.withColumn("word", F.floor(bit / 64)).withColumn("at", (bit % 64).cast("int")).join(F.broadcast(words), "word")
+    return found.where(F.expr("bits & shiftleft(1L, at) <> 0L")).select(*rows.columns)

@@ -75,23 +75,16 @@ def shingle_sets(flat: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.n
     return h, row
 
 
-def signatures(h: np.ndarray, row: np.ndarray, rows: int, bins: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, row: np.ndarray, rows: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """One-permutation min-hash of each row's shingles, densified; and which rows have any shingle.
 
     One hash puts a shingle into one of `bins` bins and gives it a value; a bin keeps its smallest. An empty bin takes the
     value of a bin that a hash of (bin, attempt) names, attempt after attempt until one is not empty (optimal densification);
     these hashes are the same for all rows, so equal sets keep equal signatures.
-
-    common: (sorted shingles, weights below 1) of shingles found in many texts. A shingle's value is -ln(u) / weight, so a
-    common one seldom is the smallest: bins agree with the probability of the weighted Jaccard similarity, and boilerplate does
-    not fill buckets. Where all shingles of a group of copies are common they weigh alike, and nothing changes for them.
     """
-    raw, h = h, mix(h)
+    h = mix(h)
     bin_ = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    value = -np.log(((mix(h ^ _step(1)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
-    if common is not None and len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], raw), len(common[0]) - 1)
-        value = np.where(common[0][at] == raw, value / common[1][at], value)
+    value = mix(h ^ _step(1))
     cell = row.astype(np.int64) * bins + bin_.astype(np.int64)
     order = np.lexsort((value, cell))
     cell, h = cell[order], h[order]
@@ -112,14 +105,22 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int, bins: int, common: tup
     return sig, some
 
 
-def block_keys(sig: np.ndarray, rows_per_band: int) -> np.ndarray:
-    """The key of each band (block) of each signature, as int64 [rows, bands]; the band's number is part of the key."""
-    n, bins = sig.shape
-    bands = bins // rows_per_band
-    s = sig[:, : bands * rows_per_band].reshape(n, bands, rows_per_band)
-    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
+#: Bits of a block, at most; a block of so many agrees by chance in one of 2**48.
+BLOCK_BITS = 48
+
+
+def block_keys(sig: np.ndarray, rows_per_band: int, tables: range) -> np.ndarray:
+    """The keys of the signatures in their block tables, as int64 [rows, tables].
+
+    A signature's fingerprint is made of the lowest 48 // rows_per_band bits of each bin; a block is rows_per_band bins of it. In
+    the i-th of the tables it is rotated so that block i leads; the key is the number of the table and the leading block's bits.
+    """
+    width = BLOCK_BITS // rows_per_band
+    low = sig[:, : len(tables) * rows_per_band] & np.uint64((1 << width) - 1)
+    block = low.reshape(len(sig), len(tables), rows_per_band)
+    key = np.broadcast_to(np.array(tables, np.uint64), (len(sig), len(tables))).copy()
     for j in range(rows_per_band):
-        key = mix(key + s[:, :, j] * np.uint64(2 * j + 3))
+        key = (key << np.uint64(width)) | block[:, :, j]
     return key.view(np.int64)
 
 
