@@ -1,7 +1,8 @@
 """Files to records (content, tags): CSV rows, JSON items, Python definitions, text chunks.
 
 One Arrow pass over (path, data): each file is parsed by the parser of its extension. Bytes are decoded as UTF-8 with replacement.
-A parser that fails gives the first MAX_FALLBACK characters as one record whose tag names the failure; no file fails the job.
+A parser that fails gives the whole text, in overlapping blocks, as records whose tag names the failure; no file fails the job. A row
+of a CSV file that cannot be read is left out, the others stay.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ import csv
 import io
 import json
 import os
+import sys
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.operators.chunk import chunks
 
-MAX_FALLBACK, SNIFFED, TOKENS = 1_000_000, 10_240, 500
+#: Characters that the sniffer sees; token limit of a record; characters of a fallback block and of its overlap with the one before.
+SNIFFED, TOKENS, BLOCK, BLOCK_OVERLAP = 10_240, 500, 8192, 512
 Record = tuple[str, list[str]]
 
 
@@ -55,20 +59,26 @@ def csv_records(text: str, path: str) -> Iterator[Record]:
         dialect, header = csv.Sniffer().sniff(sample), csv.Sniffer().has_header(sample)
     except csv.Error:
         dialect, header = csv.excel, False
-    rows = csv.reader(io.StringIO(text, newline=""), dialect)
+    csv.field_size_limit(sys.maxsize)  # a long cell is no error
+    rows = _rows(csv.reader(io.StringIO(text, newline=""), dialect))
     first = next(rows, None)
     if first is None:
         return
     names = unique_names(first) if header else [f"column_{i}" for i in range(len(first))]
-    body = rows if header else _chain(first, rows)
-    for i, row in enumerate(body):
+    for i, row in enumerate(rows if header else chain([first], rows)):
         cells = {names[j] if j < len(names) else f"extra_col_{j}": cell.strip() for j, cell in enumerate(row)}
         yield from _sized(_text(cells), [*names, path], f"csv_large_row_{i}")
 
 
-def _chain(first: list[str], rest: Iterable[list[str]]) -> Iterator[list[str]]:
-    yield first
-    yield from rest
+def _rows(reader: Iterator[list[str]]) -> Iterator[list[str]]:
+    """The rows of a CSV reader without those that it cannot read."""
+    while True:
+        try:
+            yield next(reader)
+        except StopIteration:
+            return
+        except csv.Error:
+            continue
 
 
 def json_records(text: str, path: str) -> Iterator[Record]:
@@ -113,7 +123,16 @@ PARSERS: dict[str, Callable[[str, str], Iterator[Record]]] = {"csv": csv_records
 def _failed(kind: str, error: Exception, path: str) -> list[str]:
     if kind == "py":
         return ["py_syntax_error" if isinstance(error, SyntaxError) else "py_parse_fallback", path]
-    return {"csv": ["csv_fallback_text_streaming", path], "json": [path, "json_fallback_text"]}.get(kind, [f"{kind}_fallback", path])
+    return {"csv": ["csv_fallback_text_streaming", path], "txt": ["txt_fallback_block", path], "json": [path, "json_fallback_text"]}.get(kind, [f"{kind}_fallback", path])
+
+
+def fallback(text: str, tags: list[str]) -> Iterator[Record]:
+    """The whole text: one record, or numbered blocks, each after the end of the block before."""
+    if len(text) <= BLOCK:
+        yield text, tags
+    else:
+        for k, at in enumerate(range(0, len(text), BLOCK)):
+            yield text[max(0, at - BLOCK_OVERLAP) : at + BLOCK], [*tags, f"block_{k}"]
 
 
 def file_records(path: str, data: bytes | None, kind: str | None = None) -> list[Record]:
@@ -124,8 +143,8 @@ def file_records(path: str, data: bytes | None, kind: str | None = None) -> list
     text = data.decode("utf-8", "replace")
     try:
         return list(PARSERS.get(kind, text_records)(text, path))
-    except Exception as error:  # noqa: BLE001 - whatever a file holds, it becomes one record
-        return [(text[:MAX_FALLBACK], _failed(kind, error, path))]
+    except Exception as error:  # noqa: BLE001 - whatever a file holds, it becomes records
+        return list(fallback(text, _failed(kind, error, path)))
 
 
 def parsed(files: DataFrame, path: str = "path", data: str = "data", kind: str | None = None) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vector
+from millrace.session import scratch_path
 
-#: Queries of one slice of a batch search; a slice is broadcast to all tasks.
-SLICE = 4096
+#: Queries that one pass over all vectors answers (a broadcast of some 30 MB at a width of 64), and those compared at a time.
+SLICE, BLOCK = 65_536, 4096
 
 
 def _literal(query: Sequence[float]) -> Column:
@@ -49,17 +50,16 @@ def nearest_euclidean(docs: DataFrame, query: Sequence[float], k: int = 25, id:
 def batch_top_k(docs: DataFrame, queries: DataFrame, k: int, width: int, threshold: float = -1.0, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, id, cosine_similarity): the k best other rows of each query row (query_id, embedding).
 
-    Queries go out in slices of at most SLICE vectors; every task multiplies its blocks of vectors with the slice and keeps k rows a
-    query, so that the shuffle carries k rows per query and task whatever the number of vectors. Similarities are rounded to 6
-    digits; ties rank by id. Unusable vectors, as in top_k, neither ask nor answer.
+    Queries go out in slices of at most SLICE vectors, one pass over all vectors each; every task multiplies its blocks of vectors with
+    blocks of the slice and keeps k rows a query, so that the shuffle carries k rows per query and task whatever the number of
+    vectors. Similarities are rounded to 6 digits; ties rank by id. Unusable vectors, as in top_k, neither ask nor answer.
     """
     spark = docs.sparkSession
     rows = docs.where(_usable(F.col(embedding), width)).select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     asked = queries.where(_usable(F.col("embedding"), width)).select("query_id", F.col("embedding").cast("array<double>").alias("e"))
-    parts = max(1, ceil(asked.count() / (0.9 * SLICE)))
-    out = None
+    parts, path, found = max(1, ceil(asked.count() / (0.9 * SLICE))), scratch_path(spark, "found"), None
     for s in range(parts):
-        table = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == s).toArrow()
+        table = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == s).toArrow()  # at most some SLICE vectors
         names = table["query_id"].to_numpy()
         q = np.asarray(table["e"].combine_chunks().flatten(), np.float64).reshape(-1, width)
         shared = spark.sparkContext.broadcast((names, q / np.linalg.norm(q, axis=1, keepdims=True)))
@@ -72,17 +72,23 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int, width: int, thresho
                     part = batch.slice(at, 2000)
                     own = part.column(0).to_numpy()
                     v = np.asarray(part.column(1).flatten(), np.float64).reshape(-1, width)
-                    c = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-                    c[(names[:, None] == own[None, :]) | (c < threshold)] = -np.inf
-                    both, ids = np.concatenate((best, c), axis=1), np.concatenate((who, np.broadcast_to(own, c.shape)), axis=1)
-                    order = np.lexsort((ids, -both), axis=1)[:, :k]
-                    best, who = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    for first in range(0, len(names), BLOCK):
+                        now = slice(first, first + BLOCK)
+                        c = np.round(q[now] @ v.T, 6)
+                        c[(names[now, None] == own[None, :]) | (c < threshold)] = -np.inf
+                        both, ids = np.concatenate((best[now], c), axis=1), np.concatenate((who[now], np.broadcast_to(own, c.shape)), axis=1)
+                        order = np.lexsort((ids, -both), axis=1)[:, :k]
+                        best[now], who[now] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
             ok = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)[ok.ravel()]), pa.array(who[ok]), pa.array(best[ok])], names=["query_id", "id", "cosine_similarity"])
 
         found = rows.mapInArrow(search, "query_id long, id long, cosine_similarity double")
-        out = found if out is None else out.unionByName(found)
-    ranked = out.selectExpr("query_id", "cast(row_number() over (partition by query_id order by cosine_similarity desc, id) as int) as rank", "id", "cosine_similarity")
+        if parts > 1:
+            found.write.mode("append").parquet(path)
+    if parts > 1:
+        found = spark.read.schema(found.schema).parquet(path)
+    ranked = found.selectExpr("query_id", "cast(row_number() over (partition by query_id order by cosine_similarity desc, id) as int) as rank", "id", "cosine_similarity")
     return ranked.where(F.col("rank") <= k)
 
 

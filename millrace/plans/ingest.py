@@ -1,11 +1,13 @@
-"""The folder pipeline: list, compare with the registry, parse, embed, store, and only then register.
+"""The folder pipeline: list, compare with the registry, parse, embed, store, and only then commit.
 
-Everything of a run lies under `batch=<number>` subfolders of the store. They are overwritten when a run is repeated, and the registry,
-written last, is the commit: a run that failed before it left nothing that a reader sees, and is simply begun again.
+Everything of a run lies under `batch=<number>/version=<number>` subfolders of the store. A batch counts once its mark under `commits`
+exists, which is written last and in one step and names the version of each table; nothing else is read, the registry included. A run
+that failed before has left nothing that a reader sees, and is simply begun again: it overwrites what is there.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.config import Settings
 from millrace.operators import embed, parse, registry
 from millrace.operators.embed import Embedder
-from millrace.session import scan
+from millrace.session import dropped, marked_done, marks, scan
 from millrace.sources import files
 
 DOCUMENTS = "id bigint, content string, tags array<string>, created_at timestamp, embedding array<float>, file_path string, chunk_index int, batch int"
@@ -29,16 +31,24 @@ class Store:
     spark: SparkSession
     root: str
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return scan(self.spark, schema, f"{self.root}/{name}")
+    def commits(self) -> dict[int, dict[str, int]]:
+        """The version of each table of each committed batch. A batch's marks are numbered; the last one counts."""
+        found = sorted((*map(int, name.split(".")), text) for name, text in marks(self.spark, f"{self.root}/commits").items())
+        return {batch: json.loads(text) for batch, _, text in found}
 
-    def registry(self) -> DataFrame:
-        """The last record of each file."""
-        return registry.latest(self._read("registry", REGISTRY), "batch")
+    def commit(self, batch: int, versions: dict[str, int]) -> None:
+        last = max((int(n.split(".")[1]) for n in marks(self.spark, f"{self.root}/commits") if n.split(".")[0] == str(batch)), default=-1)
+        marked_done(self.spark, f"{self.root}/commits/{batch}.{last + 1}", json.dumps(versions))
+
+    def path(self, name: str, batch: int, version: int = 0) -> str:
+        return f"{self.root}/{name}/batch={batch}/version={version}"
 
     def _committed(self, name: str, schema: str) -> DataFrame:
-        done = self._read("commits", "batch int")
-        return self._read(name, schema).join(F.broadcast(done), "batch", "left_semi")
+        return scan(self.spark, schema, *(self.path(name, b, v.get(name, 0)) for b, v in self.commits().items()), base=f"{self.root}/{name}")
+
+    def registry(self) -> DataFrame:
+        """The last record of each file."""
+        return registry.latest(self._committed("registry", REGISTRY), "batch")
 
     def documents(self, replaced: bool = False) -> DataFrame:
         """Stored rows of committed batches. A changed file's older rows stay; with replaced, only its last batch counts."""
@@ -52,52 +62,61 @@ class Store:
         return self._committed("dead_letters", DEAD)
 
     def next_batch(self) -> int:
-        return (self._read("commits", "batch int").agg(F.max("batch")).first()[0] or 0) + 1
+        return max(self.commits(), default=0) + 1
 
-    def write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+    def write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name, batch))
+        return self.spark.read.schema(df.schema).parquet(self.path(name, batch))
 
     def compact(self, name: str, batch: int, files: int) -> None:
-        """Rewrite one batch of a table with so many files."""
-        path = f"{self.root}/{name}/batch={batch}"
-        self.spark.read.parquet(path).repartition(files).write.mode("overwrite").parquet(path + ".new")
-        jvm = self.spark.sparkContext._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Rewrite one batch of a table with so many files, as a further version; readers see the one or the other.
+
+        The old version stays for those who read it now, until vacuum().
+        """
+        versions = self.commits()[batch]
+        old = versions.get(name, 0)
+        self.spark.read.parquet(self.path(name, batch, old)).repartition(files).write.mode("overwrite").parquet(self.path(name, batch, old + 1))
+        self.commit(batch, versions | {name: old + 1})
+
+    def vacuum(self) -> None:
+        """Delete versions that compact() has replaced, and what only a run itself needed."""
+        for batch, versions in self.commits().items():
+            for name, last in versions.items():
+                for version in range(last):
+                    dropped(self.spark, self.path(name, batch, version))
+            for name in ("staged", "records", "embedded"):
+                dropped(self.spark, f"{self.root}/{name}/batch={batch}")
 
 
 def to_process(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Files of a listing (path, size, mtime) that have to be processed, with their data; and why.
 
-    Size and time decide first; only files that these leave undecided are read to compare their checksum.
+    Size and time decide first; only files that these leave undecided are read for their checksum. Data is loaded for the chosen only.
     """
     seen = listing.select(F.col("path").alias("filepath"), F.lit(True).alias("found"), "size", "mtime", F.lit(None).cast("string").alias("checksum"))
     first = registry.changes(seen, known)
     decided = listing.join(first.where("should_process").select(F.col("filepath").alias("path"), "reason"), "path")
     undecided = listing.join(first.where("reason = 'already_processed'").select(F.col("filepath").alias("path")), "path", "left_semi")
-    hashed = files.with_data(undecided)
-    again = registry.changes(hashed.select(F.col("path").alias("filepath"), F.lit(True).alias("found"), "size", "mtime", "checksum"), known).where("should_process")
-    return files.with_data(decided).unionByName(hashed.join(again.select(F.col("filepath").alias("path"), "reason"), "path"))
+    sums = registry.checksum(F.col("checksum"))
+    old = known.where("size > 0").select(F.col("filepath").alias("path"), sums.alias("old_sum")).where("old_sum is not null")
+    again = files.with_checksums(undecided.join(old, "path")).where(sums != F.col("old_sum")).select("path", "size", "mtime", F.lit("content_changed").alias("reason"))
+    return files.with_data(decided.select("path", "size", "mtime", "reason").unionByName(again))
 
 
 def ingest(store: Store, listing: DataFrame, embedder: Embedder, settings: Settings = Settings(), batch: int | None = None) -> DataFrame:
     """One run over a listing of files; returns its summary: (files, records, stored, dead, batch)."""
     batch = batch or store.next_batch()
     chosen = to_process(listing, store.registry())
-    store.write(chosen.where("data is not null").select("path", "size", "mtime", "checksum", "data", "reason"), "staged", batch)
-    staged = store.spark.read.parquet(f"{store.root}/staged/batch={batch}")
-    store.write(parse.parsed(staged).select("file_path", "chunk_index", "content", "tags"), "records", batch)
-    records = store.spark.read.parquet(f"{store.root}/records/batch={batch}")
-    store.write(embed.embedded(records, embedder, settings), "embedded", batch)
-    good, dead = embed.split(store.spark.read.parquet(f"{store.root}/embedded/batch={batch}"))
+    staged = store.write(chosen.where("data is not null").select("path", "size", "mtime", "checksum", "data", "reason"), "staged", batch)
+    records = store.write(parse.parsed(staged).select("file_path", "chunk_index", "content", "tags"), "records", batch)
+    good, dead = embed.split(store.write(embed.embedded(records, embedder, settings), "embedded", batch))
     ident = F.xxhash64("file_path", "chunk_index", "content").alias("id")
-    store.write(good.select(ident, "content", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.current_timestamp().alias("created_at"), "embedding", "file_path", "chunk_index"), "documents", batch)
-    store.write(dead.select("file_path", "chunk_index", "content", "tags", "reason"), "dead_letters", batch)
+    good = good.select(ident, "content", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.current_timestamp().alias("created_at"), "embedding", "file_path", "chunk_index")
+    stored, lost = store.write(good, "documents", batch), store.write(dead.select("file_path", "chunk_index", "content", "tags", "reason"), "dead_letters", batch)
     counts = records.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("records_count"))
     done = staged.join(counts, "path", "left").select(F.col("path").alias("filepath"), "size", "mtime", "checksum", F.current_timestamp().alias("processed_at"), F.coalesce("records_count", F.lit(0)).cast("long").alias("records_count"))
     store.write(done, "registry", batch)
-    store.spark.createDataFrame([(batch,)], "batch int").coalesce(1).write.mode("append").parquet(f"{store.root}/commits")
-    one = lambda name, alias: store.spark.read.parquet(f"{store.root}/{name}/batch={batch}").agg(F.count("*").alias(alias))
-    return one("staged", "files").crossJoin(one("records", "records")).crossJoin(one("documents", "stored")).crossJoin(one("dead_letters", "dead")).withColumn("batch", F.lit(batch))
+    store.commit(batch, {"documents": 0, "dead_letters": 0, "registry": 0})
+    # one row each
+    one = lambda df, alias: df.agg(F.count("*").alias(alias))
+    return one(staged, "files").crossJoin(one(records, "records")).crossJoin(one(stored, "stored")).crossJoin(one(lost, "dead")).withColumn("batch", F.lit(batch))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "millrace", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -74,11 +75,18 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def marked_done(spark: SparkSession, path: str, text: str = "") -> None:
-    """Create a small file, which shows to every reader at once that what it stands for is complete. It replaces an earlier one."""
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
+    """Create a small file, which shows to every reader at once that what it stands for is complete. It replaces an earlier one.
+
+    It is written under a hidden name first, so that no reader sees half of it.
+    """
+    folder, name = path.rsplit("/", 1)
+    fs, hidden = _fs(spark, f"{folder}/.{name}.new")
+    out = fs.create(hidden, True)
     out.write(bytearray(text.encode()))
     out.close()
+    _, p = _fs(spark, path)
+    fs.delete(p, False)
+    fs.rename(hidden, p)
 
 
 def marks(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -88,6 +96,8 @@ def marks(spark: SparkSession, folder: str) -> dict[str, str]:
         return {}
     out = {}
     for status in fs.listStatus(p):
+        if status.getPath().getName().startswith("."):
+            continue
         stream = fs.open(status.getPath())
         try:
             out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode()
@@ -105,7 +115,7 @@ def scan(spark: SparkSession, schema: str, *paths: str, base: str | None = None)
     reader = spark.read.schema(schema)
     if base is None:
         return reader.parquet(*there)
-    return reader.option("basePath", base).parquet(*there).select(*(f"`{c.strip().split()[0]}`" for c in schema.split(",")))
+    return reader.option("basePath", base).parquet(*there).select(*(f"`{c}`" for c in StructType.fromDDL(schema).names))
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -9,6 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.config import Settings
 from millrace.operators import embed
 from millrace.operators.embed import Embedder
+from millrace.operators.lookup import marked
+from millrace.session import scan
+
+#: Parts of the ids that were stored.
+PARTS = 16
 
 ITEMS = "id string, content string, tags array<string>, file_path string, chunk_index int, enqueued_at double, size_bytes bigint"
 
@@ -21,16 +26,22 @@ def item_stream(spark: SparkSession, folder: str, files_per_batch: int = 10) ->
 def embed_stream(items: DataFrame, embedder: Embedder, out: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
     """Start a query that stores embedded items under `out`/documents and failures under `out`/dead_letters, until no files are left.
 
-    An item delivered again (same id), however late, is dropped: within a micro-batch, and against the ids of the batches before.
-    Each micro-batch writes to subfolders of its own number, so that one that is repeated after a failure replaces itself.
+    An item delivered again (same id), however late, is dropped: within a micro-batch, and against the ids of the batches before,
+    which lie in PARTS parts by a hash. Only the parts of the new ids are read, and only ids that a bit map of the new ones lets through
+    are shuffled. Each micro-batch writes to subfolders of its own number, so that one that is repeated after a failure replaces itself.
     """
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
 
     def store(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         new = rows.where("id is not null").dropDuplicates(["id"])
+        ids = f"{out}/ids/batch={number}"
+        new.select("id", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(ids)
         if number > 0:
-            done = spark.read.schema("id string, batch int").parquet(f"{out}/embedded").where(F.col("batch") < number)
-            new = new.join(done.select("id"), "id", "left_anti")
+            own = scan(spark, "id string, part int", ids, base=f"{out}/ids")
+            there = [r[0] for r in own.select("part").distinct().collect()]  # at most PARTS numbers
+            done = scan(spark, "id string, batch int, part int", f"{out}/ids", base=f"{out}/ids").where((F.col("batch") < number) & F.col("part").isin(there))
+            new = new.join(marked(done.select("id"), own, "id"), "id", "left_anti")
         path = f"{out}/embedded/batch={number}"
         embed.embedded(new, embedder, settings).write.mode("overwrite").parquet(path)
         good, dead = embed.split(spark.read.parquet(path))

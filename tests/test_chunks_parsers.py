@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import json
 
 import pytest
@@ -66,6 +67,30 @@ def test_csv_without_header_and_large_row():
     assert big[9][1][-1] == "csv_large_row_9_chunk_0" and len(big) > 10
 
 
+def test_csv_keeps_every_row_that_can_be_read():
+    words = ["alpha", "be", "gamma ray", "delta", "eps"] * 4
+    rows = [f"{w},{10 + i}" for i, w in enumerate(words)]
+    text = "name,count\n" + "\n".join(rows) + "\n" + "x" * 3_300_000 + ",77\nlast,78\n"
+    got = parse.file_records("f.csv", text.encode())
+    cells = [json.loads(c) for c, t in got if not t[-1].startswith("csv_large_row_")]
+    assert cells == [*({"name": w, "count": str(10 + i)} for i, w in enumerate(words)), {"name": "last", "count": "78"}]
+
+    def reader():
+        yield ["a"]
+        raise csv.Error("a row that cannot be read")
+
+    assert list(parse._rows(reader())) == [["a"]]
+    large = [c for c, t in got if t[-1].startswith("csv_large_row_")]
+    assert sum(map(len, large)) >= 3_300_000 and max(map(len, large)) <= 2050
+
+
+def test_fallback_keeps_the_whole_text():
+    text = "{" + "".join(f"w{i} " for i in range(400_000))
+    got = parse.file_records("a.json", text.encode())
+    assert got[0][1] == ["a.json", "json_fallback_text", "block_0"] and all(len(c) <= 8192 + 512 for c, _ in got)
+    assert got[0][0] + "".join(c[512:] for c, _ in got[1:]) == text
+
+
 def test_json_kinds():
     assert parse.file_records("a.json", b'[{"k": null, "e": "\xc3\xa9"}, 3]') == [('{"k": null, "e": "é"}', ["a.json", "k", "e"]), ("3", ["a.json"])]
     assert parse.file_records("a.json", b'{"x": {"y": 1}}') == [('{"x": {"y": 1}}', ["a.json", "x"])]

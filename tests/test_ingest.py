@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.config import Settings
 from millrace.operators import embed
-from millrace.plans.ingest import Store, ingest
+from millrace.plans.ingest import Store, ingest, to_process
+from millrace.sources import files
 from millrace.sources.files import listing
 from millrace.streaming.ingest import embed_stream, item_stream, windowed_counts
 
@@ -50,23 +51,74 @@ def test_ingest_changes_and_replacement(spark, tmp_path):
     assert store.documents().count() == 6
 
 
-def test_a_run_that_fails_before_its_commit_is_repeated_without_trace(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("lost", ["staged", "records", "embedded", "documents", "dead_letters", "registry", "commit"])
+def test_a_run_that_fails_anywhere_is_repeated_without_trace(spark, tmp_path, monkeypatch, lost):
     root, store = folder(tmp_path), Store(spark, str(tmp_path / "store"))
     write_table = Store.write
 
     def failing(self, df, name, batch):
-        if name == "registry":
+        out = write_table(self, df, name, batch)
+        if name == lost:  # after the table has been written
             raise RuntimeError("lost")
-        write_table(self, df, name, batch)
-
-    monkeypatch.setattr(Store, "write", failing)
-    with pytest.raises(RuntimeError):
-        ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL)
-    monkeypatch.setattr(Store, "write", write_table)
-    assert store.documents().count() == 0
-    assert ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL).first().stored == 5
+        return out
+
+    def no_commit(self, batch, versions):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "write", failing)
+        if lost == "commit":
+            m.setattr(Store, "commit", no_commit)
+        with pytest.raises(RuntimeError):
+            ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL)
+    assert store.documents().count() == store.registry().count() == 0
+    r = ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL).first()
+    assert (r.files, r.stored) == (4, 5)
     rows = store.documents()
-    assert rows.count() == 5 == rows.select("id").distinct().count()
+    assert rows.count() == 5 == rows.select("id").distinct().count() and store.registry().count() == 4
+    assert ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL).first().files == 0
+
+
+def test_readers_work_while_a_batch_is_compacted(spark, tmp_path, monkeypatch):
+    root, store = folder(tmp_path), Store(spark, str(tmp_path / "store"))
+    ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL)
+    before = store.documents()
+
+    def crash(self, batch, versions):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "commit", crash)
+        with pytest.raises(RuntimeError):
+            store.compact("documents", 1, 1)  # the new version is there, but not committed
+    assert store.documents().count() == 5
+    store.compact("documents", 1, 1)
+    store.compact("documents", 1, 1)
+    assert before.count() == store.documents().count() == 5 and len(store.documents().inputFiles()) == 1
+    store.vacuum()
+    assert store.documents().count() == 5 and not os.path.exists(f"{store.root}/documents/batch=1/version=0")
+
+
+def test_unchanged_files_are_only_hashed(spark, tmp_path, monkeypatch):
+    root, store = folder(tmp_path), Store(spark, str(tmp_path / "store"))
+    ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL)
+    chosen = to_process(listing(spark, root), store.registry())
+    assert chosen.count() == 0
+    path = os.path.join(root, "a.txt")
+    before = os.stat(path)
+    write(root, "a.txt", "FIRST words")  # same size, and the same time as far as the registry tells
+    os.utime(path, (before.st_atime, before.st_mtime))
+    assert [(r.path, r.reason, bytes(r.data)) for r in to_process(listing(spark, root), store.registry()).collect()] == [(path, "content_changed", b"FIRST words")]
+
+
+def test_listing_shares_out_deep_and_flat_folders(spark, tmp_path):
+    root = str(tmp_path / "deep")
+    want = {write(root, f"one/two/s{i}/t{j}/f{k}.txt", "x") for i in range(5) for j in range(4) for k in range(3)}
+    rows = listing(spark, root)
+    assert {r.path for r in rows.collect()} == want and rows.rdd.getNumPartitions() >= 20
+    assert listing(spark, str(tmp_path / "absent")).count() == 0
+    assert {r.path for r in listing(spark, f"file://{root}").collect()} == {f"file://{p}" for p in want}
+    assert files.with_data(listing(spark, f"file://{root}").select("path")).where("data is not null and checksum is not null").count() == len(want)
 
 
 class Flaky:
