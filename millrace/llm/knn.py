@@ -31,9 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import scratch_path, written
 
-TREES, DIMS, LEAF, SAMPLE, CONFIDENCE, SLICE = 12, 16, 384, 20_000, 0.98, 4096
+TREES, DIMS, LEAF, SAMPLE, CONFIDENCE = 12, 16, 384, 20_000, 0.98
+
+#: Queries that one pass over all rows answers (as a broadcast of some 20 MB at a width of 64), and those compared at a time.
+SLICE, BLOCK = 65_536, 4096
 
 
 def chi_square(p: float, dims: int) -> float:
@@ -179,7 +182,9 @@ def class_pairs(classes: DataFrame, width: int, k: int, min_cosine: float) -> Da
         low, high = np.concatenate((np.minimum(a, b), dense)), np.concatenate((np.maximum(a, b), dense))
         return pa.table({"a": low, "b": pa.array(high, mask=np.arange(len(low)) >= len(a))})
 
-    placed = classes.select("rep", "unit").mapInArrow(place, "cell long, rep long, code binary")
+    # as many partitions as the rows ask for, each of some 100,000: what a task reads does not grow with the table
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(count * TREES / 100_000))
+    placed = classes.select("rep", "unit").mapInArrow(place, "cell long, rep long, code binary").repartition(tasks, "cell")
     pairs = written(placed.groupBy("cell").applyInArrow(meet, "a long, b long").distinct(), "pairs")
     vectors = classes.select(F.col("rep").alias("id"), "unit")
     dense = written(vectors.join(pairs.where("b is null").select(F.col("a").alias("id")), "id", "left_semi"), "dense")
@@ -230,7 +235,7 @@ def similar_pairs(docs: DataFrame, k: int = 5, min_cosine: float = 0.9, width: i
 def nearest(docs: DataFrame, queries: Column, k: int = 5, width: int = 64, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(id, neighbour_id, rank, cosine): the k most similar other rows of each row for which `queries`, a condition on id, holds.
 
-    The queries go through all rows in slices of SLICE, each slice a broadcast of at most SLICE * width numbers. A task splits its
+    The queries go through all rows in slices of SLICE, each a broadcast of at most SLICE * width numbers and one pass. A task splits its
     rows by a kd-tree over the projections and meets the leaves by their distance; a query skips a leaf when its box is farther than
     the stopping test of its k-th best similarity so far allows. Null and unusable vectors as in similar_pairs; ties rank by id.
     """
@@ -241,12 +246,12 @@ def nearest(docs: DataFrame, queries: Column, k: int = 5, width: int = 64, id: s
 def block_search(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataFrame:
     """(id, neighbour_id, rank, cosine): nearest() for unit vectors (id, unit), of all those asked."""
     spark = rows.sparkSession
-    total = asked.count()
-    numbered = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, ceil(total / (SLICE * 0.9))))))
+    slices = max(1, ceil(asked.count() / (SLICE * 0.9)))
+    numbered = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(slices)))
     r, factor = projection(0, width, DIMS), chi_square(CONFIDENCE, DIMS)
-    out = None
-    for s in range(max(1, ceil(total / (SLICE * 0.9)))):
-        part = numbered.where(F.col("slice") == s).toArrow()
+    path, found = scratch_path(spark, "found"), None
+    for s in range(slices):
+        part = numbered.where(F.col("slice") == s).toArrow()  # at most some SLICE vectors
         ids, qv = part["id"].to_numpy(), _matrix(part["unit"], width)
         shared = spark.sparkContext.broadcast((ids, qv, qv @ r))
 
@@ -258,24 +263,33 @@ def block_search(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataF
                 p = v @ r
                 for own in local_leaves(p, 1024):
                     low, high = p[own].min(axis=0), p[own].max(axis=0)
-                    box = (np.maximum(0, np.maximum(low - qp, qp - high)) ** 2).sum(axis=1)
-                    go = np.flatnonzero(box <= np.where(np.isfinite(best[:, -1]), 2 - 2 * best[:, -1] + 2e-6, np.inf) * factor + 1e-5)
-                    if not len(go):
-                        continue
-                    c = q[go] @ v[own].T
-                    c[qid[go][:, None] == bid[own][None, :]] = -np.inf
-                    # by the 6 digits that ties are told by, then by id: also of very many equal ones (copies of any length) the first are kept
-                    c = np.round(c.astype(np.float64), 6)
-                    order = np.argsort(np.argsort(bid[own]))
-                    top = np.argpartition(order / (len(order) * 1e6) - c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
-                    c = np.concatenate((best[go], np.take_along_axis(c, top, 1)), axis=1)
-                    n = np.concatenate((name[go], bid[own][top]), axis=1)
-                    order = np.lexsort((n, -c), axis=1)[:, :k]
-                    best[go], name[go] = np.take_along_axis(c, order, 1), np.take_along_axis(n, order, 1)
+                    for at in range(0, len(qid), BLOCK):
+                        now = slice(at, at + BLOCK)
+                        box = (np.maximum(0, np.maximum(low - qp[now], qp[now] - high)) ** 2).sum(axis=1)
+                        last = best[now, -1]
+                        go = at + np.flatnonzero(box <= np.where(np.isfinite(last), 2 - 2 * last + 2e-6, np.inf) * factor + 1e-5)
+                        if len(go):
+                            best[go], name[go] = _better(best[go], name[go], qid[go], q[go], bid[own], v[own], k)
             ok = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[ok.ravel()]), pa.array(name[ok]), pa.array(best[ok])], names=["id", "neighbour_id", "cosine"])
 
         found = rows.mapInArrow(search, "id long, neighbour_id long, cosine double")
-        out = found if out is None else out.unionByName(found)
-    ranked = out.selectExpr("id", "neighbour_id", "cast(row_number() over (partition by id order by round(cosine, 6) desc, neighbour_id) as int) as rank", "round(cosine, 6) as cosine")
+        if slices > 1:
+            found.write.mode("append").parquet(path)
+    if slices > 1:
+        found = spark.read.schema(found.schema).parquet(path)
+    ranked = found.selectExpr("id", "neighbour_id", "cast(row_number() over (partition by id order by round(cosine, 6) desc, neighbour_id) as int) as rank", "round(cosine, 6) as cosine")
     return ranked.where(F.col("rank") <= k)
+
+
+def _better(best: np.ndarray, name: np.ndarray, qid: np.ndarray, q: np.ndarray, bid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of what queries have (cosines, names) and of a block of vectors, by the 6 digits that ties are told by, then by id."""
+    c = q @ v.T
+    c[qid[:, None] == bid[None, :]] = -np.inf
+    c = np.round(c.astype(np.float64), 6)
+    # of very many equal ones (copies of any length) the first are kept
+    order = np.argsort(np.argsort(bid))
+    top = np.argpartition(order / (len(order) * 1e6) - c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
+    c, n = np.concatenate((best, np.take_along_axis(c, top, 1)), axis=1), np.concatenate((name, bid[top]), axis=1)
+    order = np.lexsort((n, -c), axis=1)[:, :k]
+    return np.take_along_axis(c, order, 1), np.take_along_axis(n, order, 1)

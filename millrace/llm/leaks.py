@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import WORD
 from millrace.llm import shingles as S
+from millrace.session import written
 
-#: Words of a k-gram, where the passage is long enough; bits of the Bloom filter, at least and at most (32 MB).
-GRAM, BLOOM_BITS, BLOOM_MOST = 8, 1 << 16, 1 << 28
+#: Words of a k-gram, where the passage is long enough; bits of the Bloom filter, at least and at most (8 MB).
+GRAM, BLOOM_BITS, BLOOM_MOST = 8, 1 << 16, 1 << 26
 
 
 def winnow(flat: np.ndarray, counts: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,23 +91,21 @@ def _hits(batches: Iterator[pa.RecordBatch], shapes: list[tuple[int, int, int]]
 
 
 def bloom_filter(hits: DataFrame) -> np.ndarray:
-    """The items' hashes as bits; built in the tasks as 64-bit words, of which at most BLOOM_MOST / 64 reach the driver."""
-    count = hits.count()
-    bits = min(BLOOM_MOST, max(BLOOM_BITS, 1 << int(64 * max(count, 1)).bit_length()))
+    """The items' hashes as bits in bytes; built in the tasks as 64-bit words, of which at most BLOOM_MOST / 64 reach the driver."""
+    bits = min(BLOOM_MOST, max(BLOOM_BITS, 1 << int(64 * max(hits.count(), 1)).bit_length()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits)) if batch.num_rows else np.empty(0, np.uint64)
-            at, bit = (b >> np.uint64(3)).astype(np.int64), np.left_shift(1, (b & np.uint64(7)).astype(np.int64))
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            value = np.bitwise_or.reduceat(bit[order], first) if len(at) else bit
-            yield pa.RecordBatch.from_arrays([pa.array(at[order][first]), pa.array(value)], names=["at", "bit"])
+            b = np.unique(np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits))) if batch.num_rows else np.empty(0, np.uint64)
+            at, bit = b >> np.uint64(6), np.left_shift(np.uint64(1), b & np.uint64(63))
+            first = np.flatnonzero(np.diff(at.view(np.int64), prepend=-1))
+            value = np.bitwise_or.reduceat(bit, first) if len(at) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(at[first].view(np.int64)), pa.array(value.view(np.int64))], names=["at", "word"])
 
-    rows = hits.select("h").mapInArrow(place, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
-    out = np.zeros(bits // 8, np.uint8)
-    out[rows["at"].to_numpy()] = rows["bit"].to_numpy()
-    return out
+    rows = hits.select("h").mapInArrow(place, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[rows["at"].to_numpy()] = rows["word"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +133,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, span: int = 12, doc_id: str
     is repeated under several ids is reported under each. Other columns are ignored; empty tables give an empty result.
     """
     texts = items.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    tests = texts.mapInArrow(lambda it: _hits(it, None, span, None), _HIT)
+    tests = written(texts.mapInArrow(lambda it: _hits(it, None, span, None), _HIT), "items")
     lengths = sorted(r.n for r in tests.select("n").distinct().collect())  # at most `span` numbers
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(tests))
     shapes = [shape(n, span) for n in lengths]

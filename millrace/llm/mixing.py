@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +23,8 @@ from pyspark.sql import types as T
 from millrace.functions.text import strip
 from millrace.session import written
 
-SHARD_TOKENS, CHUNK, MOST_SOURCES = 4_000_000, 65_536, 10_000
+#: SLACK: slots by which a source may be off what its stretch of the weights asks for (golden-ratio points: a few, even for 2**60).
+SHARD_TOKENS, CHUNK, SLACK = 4_000_000, 65_536, 64
 BLOCK_LEAST, BLOCK_MOST, BLOCKS_WANTED = 64, 65_536, 20_000
 
 #: Where a public tokenizer's ranks lie, and (fixed value) the pattern that splits text before its merges.
@@ -56,67 +56,48 @@ def token_counts(docs: DataFrame, id: str = "doc_id", source: str = "source", te
     return docs.select(F.col(id).alias("doc_id"), F.lower(strip(F.col(source))).alias("source"), F.pandas_udf(count, T.LongType())(F.col(text)).alias("tokens"))
 
 
-@dataclass(frozen=True)
-class Share:
-    """A planned source: its spelling in the plan, numbers of the plan, and how its documents are cut into blocks."""
+def planned(counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan's sources: (source, name, share, max_repeats, tokens, total, shards, per_shard, blocks, weight, low, high), written once.
 
-    name: str
-    key: str
-    share: float
-    max_repeats: int
-    tokens: int
-    shards: int = 1
-    per_shard: int = 1
-
-    @property
-    def blocks(self) -> int:
-        return self.shards * self.per_shard if self.tokens else 0
-
-
-def planned(counts: DataFrame, plan: DataFrame) -> tuple[list[Share], int]:
-    """The plan's sources with their tokens and blocks, and the tokens of all of them. One row per source reaches the driver."""
+    blocks are the equal blocks that the source's documents make up, weight the slots that its share asks for, and low to high its
+    stretch of the cumulative weights. The window over all sources sees one row each.
+    """
     key = F.lower(strip(F.col("source")))
     rows = plan.where("source is not null and target_share > 0").groupBy(key.alias("source")).agg(F.min("source").alias("name"), F.max("target_share").alias("share"), F.max("max_repeats").alias("max_repeats"))
-    sums = rows.join(counts.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"a plan of more than {MOST_SOURCES} sources")
-    total = sum(r.tokens or 0 for r in sums)
-    block = min(BLOCK_MOST, max(BLOCK_LEAST, total // BLOCKS_WANTED))
-    out = []
-    for r in sorted(sums, key=lambda r: r.source):
-        tokens = r.tokens or 0
-        shards = max(1, math.ceil(tokens / SHARD_TOKENS))
-        out.append(Share(r.name, r.source, r.share, max(0, r.max_repeats or 0), tokens, shards, max(1, round(tokens / shards / block))))
-    return out, total
-
-
-def schedule(spark, shares: list[Share], total: int) -> DataFrame:
-    """(slot, source, repetition, block): every slot with the block that fills it; block is null where the source is used up."""
+    sums = rows.join(counts.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left")
+    sums = sums.selectExpr("source", "name", "share", "greatest(0, coalesce(max_repeats, 0)) as max_repeats", "coalesce(tokens, 0L) as tokens").selectExpr("*", "sum(tokens) over () as total")
+    sums = sums.selectExpr("*", f"greatest(1L, cast(ceil(tokens / {SHARD_TOKENS}) as bigint)) as shards", f"least({BLOCK_MOST}, greatest({BLOCK_LEAST}, total div {BLOCKS_WANTED})) as size")
+    sums = sums.selectExpr("*", "greatest(1L, cast(round(tokens / shards / size) as bigint)) as per_shard").selectExpr("*", "if(tokens > 0, shards * per_shard, 0L) as blocks")
     # a source's slots are as many as blocks of its own size make up its share
-    weights = [s.share * total * (s.blocks / s.tokens if s.tokens else 1 / BLOCK_LEAST) for s in shares]
-    slots = round(sum(weights))
-    sums, at = [], 0.0
-    for w in weights[:-1]:
-        at += w
-        sums.append(at / sum(weights))
-    names = F.array(*(F.lit(s.key) for s in shares))
-    bounds = F.array(*map(F.lit, sums)) if sums else F.array().cast("array<double>")
+    sums = sums.selectExpr("*", f"share * total * if(tokens > 0, blocks / tokens, 1 / {BLOCK_LEAST}) as weight")
+    sums = sums.selectExpr("*", "try_divide(coalesce(sum(weight) over (order by source rows between unbounded preceding and 1 preceding), 0D), sum(weight) over ()) as low")
+    sums = sums.selectExpr("*", "coalesce(lead(low) over (order by source), 1D) as high")
+    return written(sums.drop("size"), "shares")
+
+
+def schedule(shares: DataFrame) -> DataFrame:
+    """(slot, source, repetition, block): every slot with the block that fills it; block is null where the source is used up.
+
+    Points meet the sources' stretches in a join on equal cells of the unit interval (about as many as there are sources).
+    """
+    spark = shares.sparkSession
+    one = shares.agg(F.sum("weight").alias("slots"), F.count("*").alias("sources")).first()
+    slots, cells = round(one.slots or 0), max(1, one.sources)
     point = (F.col("slot") + 1) * F.lit((math.sqrt(5) - 1) / 2)
-    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("u", point - F.floor(point))
-    named = points.select("slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), F.element_at(names, F.size(F.filter(bounds, lambda b: b <= F.col("u"))) + 1).alias("source"))
+    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("u", point - F.floor(point)).withColumn("cell", F.floor(F.col("u") * cells))
+    stretches = shares.where("weight > 0").selectExpr("source", "low", "high", f"explode(sequence(floor(low * {cells}), floor(high * {cells}))) as cell")
+    named = points.join(stretches, "cell").where("low <= u and u < high").select("slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), "source")
     sizes = named.groupBy("source", "chunk").count()
     before = sizes.selectExpr("source", "chunk", "coalesce(sum(count) over (partition by source order by chunk rows between unbounded preceding and 1 preceding), 0) as before")
     ranked = named.selectExpr("*", "row_number() over (partition by source, chunk order by slot) - 1 as place").join(before, ["source", "chunk"])
-    table = spark.createDataFrame([(s.key, s.blocks, s.max_repeats) for s in shares], "source string, blocks long, max_repeats int")
-    rank = ranked.join(F.broadcast(table), "source").withColumn("rank", F.col("before") + F.col("place"))
+    rank = ranked.join(shares.select("source", "blocks", "max_repeats"), "source").withColumn("rank", F.col("before") + F.col("place"))
     used = "blocks > 0 and rank < blocks * max_repeats"
     return rank.selectExpr("slot", "source", f"case when {used} then cast(rank div blocks as int) end as repetition", f"case when {used} then rank % blocks end as block")
 
 
-def blocks(counts: DataFrame, shares: list[Share], seed: int = 0) -> DataFrame:
+def blocks(counts: DataFrame, shares: DataFrame, seed: int = 0) -> DataFrame:
     """(source, block, doc_id, tokens): each document of a planned source with its block."""
-    table = counts.sparkSession.createDataFrame([(s.key, s.shards, s.per_shard) for s in shares], "source string, shards long, per_shard long")
-    rows = counts.join(F.broadcast(table), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards"))
+    rows = counts.join(shares.select("source", "shards", "per_shard"), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards"))
     over = "over (partition by source, shard{0})"
     order = f" order by xxhash64({seed + 1}, doc_id), doc_id rows between unbounded preceding and 1 preceding"
     cut = rows.selectExpr("*", f"coalesce(sum(tokens) {over.format(order)}, 0) as before", f"sum(tokens) {over.format('')} as all")
@@ -131,25 +112,23 @@ def mixed(docs: DataFrame, plan: DataFrame, seed: int = 0, **columns: str) -> Da
     Plan rows without a source or a positive share stay out; an empty table of documents gives an empty mix.
     """
     counts = written(token_counts(docs, **columns), "tokens")
-    shares, total = planned(counts, plan)
-    spark = docs.sparkSession
-    names = spark.createDataFrame([(s.key, s.name) for s in shares], "source string, name string")
-    filled = schedule(spark, shares, total).where("block is not null") if total else spark.createDataFrame([], "slot long, source string, repetition int, block long")
-    return filled.join(blocks(counts, shares, seed), ["source", "block"]).join(F.broadcast(names), "source").select("slot", F.col("name").alias("source"), "doc_id", "repetition", "tokens")
+    shares = planned(counts, plan)
+    filled = schedule(shares).where("block is not null").join(shares.select("source", "name"), "source")
+    return filled.join(blocks(counts, shares, seed), ["source", "block"]).select("slot", F.col("name").alias("source"), "doc_id", "repetition", "tokens")
 
 
 def shortfalls(docs: DataFrame, plan: DataFrame, **columns: str) -> DataFrame:
     """(source, target_share, tokens, slots, empty_slots, misses) of the schedule: misses says whether the source falls short of
-    its share even if all its documents are used max_repeats times."""
-    counts = written(token_counts(docs, **columns), "tokens")
-    shares, total = planned(counts, plan)
-    spark = docs.sparkSession
-    rows = [(s.key, s.name, s.share, s.tokens, s.tokens * s.max_repeats < s.share * total) for s in shares]
-    table = spark.createDataFrame(rows, "source string, name string, target_share double, tokens long, misses boolean")
-    if not total:
-        return table.selectExpr("name as source", "target_share", "tokens", "0L as slots", "0L as empty_slots", "misses")
-    slots = schedule(spark, shares, total).groupBy("source").agg(F.count("*").alias("slots"), F.count_if(F.col("block").isNull()).alias("empty_slots"))
-    return table.join(slots, "source", "left").select(F.col("name").alias("source"), "target_share", "tokens", "slots", "empty_slots", "misses")
+    its share even if all its documents are used max_repeats times.
+
+    The schedule names the sources that may miss: those with empty slots, and those whose blocks are all used but for as many as a
+    low-discrepancy sequence may be off (SLACK, and one block in 10,000 for the rounding of blocks). The exact sums decide them.
+    Without any tokens none misses.
+    """
+    shares = planned(written(token_counts(docs, **columns), "tokens"), plan)
+    slots = schedule(shares).groupBy("source").agg(F.count("*").alias("slots"), F.count_if(F.col("block").isNull()).alias("empty_slots"))
+    rows = shares.join(slots, "source", "left").selectExpr("*", "coalesce(slots, 0L) as filled", f"coalesce(empty_slots, 0L) > 0 or blocks * max_repeats <= (coalesce(slots, 0L) + {SLACK}) * 1.0001 as near")
+    return rows.selectExpr("name as source", "share as target_share", "tokens", "filled as slots", "coalesce(empty_slots, 0L) as empty_slots", "near and tokens * max_repeats < share * total as misses")
 
 
 def actual_shares(docs: DataFrame, plan: DataFrame, seed: int = 0, **columns: str) -> DataFrame:

@@ -11,22 +11,20 @@ before. It is cut
 - if it ends in half a character or half a character entity (a broken transfer), whatever stands before that.
 So headings, list items, log lines, table rows, signatures and links are whole where their last words are seen to end things.
 
-Only final n-grams are counted: the tasks hold their trigrams against the hash buckets of the candidates' final bigrams, at most
-BUCKETS numbers, and shuffle what passes. Every count is over all texts.
+Only final n-grams are counted: the tasks hold their trigrams against a bit map (of bounded size) of the candidates' final bigrams, and
+shuffle partial counts of what passes. Every count is over all texts.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame
 
-from millrace.functions.text import WS_CHARS
+from millrace.functions.text import WS
+from millrace.operators.lookup import marked
 from millrace.session import written
 
-BUCKETS = 1 << 18
-
 #: A length holds a pile if so many different texts of a source have it, and so many times the mean of the lengths around.
 PILE_LEAST, PILE_TIMES, PILE_AROUND = 5, 6, 20
 
@@ -37,50 +35,55 @@ KNOWN, ENDS_SHARE = 4, 0.04
 #: the same word cut at the same letter comes again too, but is one of very many.
 OPEN_SHARE, OPEN_LEAST = 0.005, 3
 
-#: Ends of segments: a stop with closing quotes or brackets before white space or the end, or a line break.
-ENDS = r"[.!?。！？]+[\x22\x27»”’)\]]*(?=[WS]|$)|[\n\r  ]+".replace("WS", WS_CHARS)
+#: Ends of segments: a stop with closing quotes or brackets before white space or the end, or a line break. The same back to front.
+STOP, CLOSING, LINE = "[.!?。！？]", r"[\x22\x27»”’)\]]", r"[\n\r\u2028\u2029]"
+ENDS = rf"{STOP}+{CLOSING}*(?={WS}|$)|{LINE}+"
+OPEN_END = rf"^(?!{CLOSING}*{STOP})([^\n\r\u2028\u2029]*?)(?={WS}{CLOSING}*{STOP}|{LINE}|\z)"
+
+#: The beginnings (fixed values) of a character entity; half of one, or half a character, back to front.
+ENTITIES = ("a", "am", "amp", "l", "lt", "g", "gt", "q", "qu", "quo", "quot", "n", "nb", "nbs", "nbsp")
+HALF = rf"^ *(?:\ufffd|(?:{'|'.join(x[::-1] for x in ENTITIES)}|[0-9]*#)?&)"
 
-#: Half a character, or the beginning (fixed values) of a character entity.
-HALF = r"(?:�|&(?:a|am|amp|l|lt|g|gt|q|qu|quo|quot|n|nb|nbs|nbsp|#[0-9]*)?)$"
+#: An ellipsis at the very end, as a field limit may leave it, with brackets and white space around; back to front.
+MARK = rf"^{WS}*[\])]?(?:\.{{3,}}|…)[\[(]?{WS}*"
 
-#: The white space of WS_CHARS as characters.
-SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{WS_CHARS}]", c))
+WORDS = r"[\p{L}\p{N}]+"
 
-#: An ellipsis at the very end, as a field limit may leave it, with brackets and white space around.
-MARK = r"[WS]*[\[(]?(?:\.{3,}|…)[\])]?[WS]*$".replace("WS", WS_CHARS)
-MARKED = rf"right(trim(trailing '{SPACES}' from text), 4) rlike r'(?:[.]{{3}}|…)[\])]?$'"
-BODY = f"if({MARKED}, regexp_replace(text, r'{MARK}', ''), text)"
+#: What stands for the end of a segment among its words, and for the missing words before its first.
+EDGE = "\u0001"
 
-SEGMENTS = f"split(regexp_replace(lower({BODY}), '[0-9]+', '0'), r'{ENDS}')"
-WORDS = r"regexp_extract_all(segment, r'[\p{L}\p{N}]+', 0)"
+#: Every text back to front without its mark, and its open last segment; the end is read from behind, so that only it is looked at.
+PARTS = f"""
+select *, regexp_extract(back, r'{OPEN_END}', 1) as tail
+from (select doc_id, source, text, mark <> '' as marked, back0, if(mark = '', back0, substr(back0, char_length(mark) + 1)) as back
+      from (select doc_id, source, text, reverse(text) as back0, regexp_extract(reverse(text), r'{MARK}', 0) as mark from $docs where doc_id is not null and text is not null))
+"""
 
-#: The open last segment of each text: its last three words (^ before its first); c is null where no segment is open.
+#: The last three words of the open last segment of each text (EDGE before its first); c is null where no segment is open.
 TAILS = f"""
-select doc_id, source, chars, bytes, broken, marked, text_hash, try_element_at(w, -1) as c, coalesce(try_element_at(w, -2), '^') as b, coalesce(try_element_at(w, -3), '^') as a
-from (select *, {WORDS} as w
-      from (select doc_id, lower(trim(source)) as source, char_length(text) as chars, octet_length(text) as bytes, xxhash64(text) as text_hash,
-                   rtrim(text) rlike r'{HALF}' or {MARKED} and rtrim({BODY}) rlike r'{HALF}' as broken, {MARKED} as marked, element_at({SEGMENTS}, -1) as segment
-            from $docs where doc_id is not null and text is not null))
+select doc_id, source, chars, bytes, broken, marked, text_hash, try_element_at(w, -1) as c, coalesce(try_element_at(w, -2), '{EDGE}') as b, coalesce(try_element_at(w, -3), '{EDGE}') as a
+from (select doc_id, lower(trim(source)) as source, char_length(text) as chars, octet_length(text) as bytes, xxhash64(text) as text_hash, marked,
+             back0 rlike r'{HALF}' or marked and back rlike r'{HALF}' as broken, regexp_extract_all(regexp_replace(lower(reverse(tail)), '[0-9]+', '0'), r'{WORDS}', 0) as w
+      from ({PARTS}))
 """
 
-#: Every word of the closed segments with the two before and the one after it ($ after the last).
+#: Every word of the closed segments with the two before and the one after it.
 TRIGRAMS = f"""
 select t.*
-from (select {WORDS} as w
-      from (select explode(slice(s, 1, size(s) - 1)) as segment
-            from (select {SEGMENTS} as s from $docs where doc_id is not null and text is not null)))
-lateral view inline(arrays_zip(concat(array('^', '^'), w), concat(array('^'), w), w, concat(slice(w, 2, size(w)), array('$')))) t as a, b, c, d
-where size(w) > 0 and c is not null
+from (select regexp_extract_all(regexp_replace(regexp_replace(translate(lower(closed), '{EDGE}', ' '), '[0-9]+', '0'), r'{ENDS}', '{EDGE}'), r'{WORDS}|{EDGE}', 0) as w
+      from (select reverse(substr(back, char_length(tail) + 1)) as closed from ({PARTS}))
+      where closed <> '')
+lateral view inline(arrays_zip(concat(array('{EDGE}', '{EDGE}'), w), concat(array('{EDGE}'), w), w, slice(w, 2, size(w)))) t as a, b, c, d
+where c <> '{EDGE}'
 """
 
+#: The n-grams of closed segments that may be final ones: their hashes, and whether they end a segment.
+HITS = f"select xxhash64(if(b = '{EDGE}', b, a), b, c) as h3, xxhash64(b, c) as key, cast(coalesce(d, '{EDGE}') = '{EDGE}' as int) as ends from ({TRIGRAMS})"
+
 #: Counts inside and at the ends of segments, for final n-grams only.
-COUNTS = f"""
-with hits as (
-  select /*+ broadcast(wanted) */ xxhash64(a, b, c) as h3, xxhash64(b, c) as h2, cast(d = '$' as int) as ends
-  from ({TRIGRAMS})
-  left semi join (select distinct pmod(xxhash64(b, c), {BUCKETS}) as bucket from $tails where c is not null) wanted on pmod(xxhash64(b, c), {BUCKETS}) = bucket)
+COUNTS = """
 select h, count(*) - sum(ends) as inside, sum(ends) as ends
-from (select stack(2, h3, ends, h2, ends) as (h, ends) from hits)
+from (select stack(2, h3, ends, key, ends) as (h, ends) from $hits)
 group by h
 """
 
@@ -142,7 +145,8 @@ def judged_ends(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     """
     docs = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{source}` as source", f"`{text}` as text")
     tails = written(_run(TAILS, docs=docs), "tails")
-    counts = written(_run(COUNTS, docs=docs, tails=tails), "counts")
+    hits = marked(_run(HITS, docs=docs), tails.where("c is not null").selectExpr("xxhash64(b, c) as key"))
+    counts = written(_run(COUNTS, hits=hits), "counts")
     judged = written(_run(JUDGED, tails=tails, counts=counts), "judged")
     return _run(CUT, judged=judged, limits=_run(LIMITS, judged=judged))
 
