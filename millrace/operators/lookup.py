@@ -16,7 +16,7 @@ def marked(rows: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
     afterwards follows the number of keys asked for. So many keys that they mark every bit let all rows pass.
     """
     bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    words = asked.select(F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("at"))
-    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
-    found = rows.withColumn("word", F.floor(bit / 64)).withColumn("at", (bit % 64).cast("int")).join(F.broadcast(words), "word")
-    return found.where(F.expr("bits & shiftleft(1L, at) <> 0L")).select(*rows.columns)
+    word, at = F.floor(bit / 64).alias("_word"), (bit % 64).cast("int").alias("_at")
+    words = asked.select(word, at).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_marks"))
+    found = rows.select("*", word, at).join(F.broadcast(words), "_word")
+    return found.where(F.expr("_marks & shiftleft(1L, _at) <> 0L")).select(*rows.columns)
