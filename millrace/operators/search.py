@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from math import ceil
 
@@ -28,7 +29,10 @@ def _usable(v: Column, width: int) -> Column:
 def scored(docs: DataFrame, query: Sequence[float], id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(id, cosine_similarity), rounded to 6 digits, of all usable vectors. One pass, no shuffle."""
     rows = docs.where(_usable(F.col(embedding), len(query))).select(F.col(id).alias("id"), F.col(embedding).alias("e"))
-    return rows.select("id", F.round(vector.cosine(F.col("e"), _literal(query)), 6).alias("cosine_similarity"))
+    size = math.sqrt(sum(float(x) ** 2 for x in query))
+    unit = _literal([float(x) / size for x in query] if size else query)  # the question is brought to unit length once, not per row
+    score = F.try_divide(vector.dot(F.col("e"), unit), vector.norm(F.col("e"))) if size else F.lit(None).cast("double")
+    return rows.select("id", F.round(score, 6).alias("cosine_similarity"))
 
 
 def top_k(docs: DataFrame, query: Sequence[float], k: int = 25, threshold: float = 0.3, id: str = "id", embedding: str = "embedding") -> DataFrame:
@@ -72,7 +76,7 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int, width: int, thresho
                     part = batch.slice(at, 2000)
                     own = part.column(0).to_numpy()
                     v = np.asarray(part.column(1).flatten(), np.float64).reshape(-1, width)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    v = v / np.linalg.norm(v, axis=1, keepdims=True)
                     for first in range(0, len(names), BLOCK):
                         now = slice(first, first + BLOCK)
                         c = np.round(q[now] @ v.T, 6)

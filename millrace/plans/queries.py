@@ -195,17 +195,19 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
 # ---- parsers ----
 
 
-@_query("""SELECT 'customer/' || c_custkey || '.csv' AS file_path, 0 AS chunk_index,
-'{"c_custkey": "' || c_custkey || '", "c_name": "' || c_name || '", "c_mktsegment": "' || c_mktsegment || '"}' AS content,
-'c_custkey,c_name,c_mktsegment,customer/' || c_custkey || '.csv' AS tags FROM customer""")
+@_query("""WITH c AS (SELECT *, c_custkey // 20 AS file, (row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) - 1)::INT AS i FROM customer)
+SELECT 'customer/' || file || '.csv' AS file_path, i AS chunk_index, '{"id": "' || c_custkey || '", "label": "' || c_mktsegment || ', ' || c_nationkey || '"'
+|| CASE WHEN c_custkey % 7 = 3 THEN '' ELSE ', "label_1": "' || c_name || '", "note": "n' || c_nationkey || '"' END || CASE WHEN c_custkey % 7 = 5 THEN ', "extra_col_4": "more"' ELSE '' END || '}' AS content,
+'id,label,label_1,note,customer/' || file || '.csv' AS tags FROM c""")
 def csv_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Each customer as a small CSV file with a header; its row as JSON text, its header as tags."""
-    rows = table(spark, folder, "customer")
-    line = F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")
-    # numbers below a header of words are what the sniffer takes for a header; two more rows make it sure and are dropped again
-    data = F.concat(F.lit("c_custkey,c_name,c_mktsegment\n"), line, F.lit("\n"), line, F.lit("\n"), line, F.lit("\n"))
-    files = rows.select(F.concat(F.lit("customer/"), "c_custkey", F.lit(".csv")).alias("path"), data.alias("data"))
-    return parse.parsed(files).where("chunk_index = 0").select("file_path", "chunk_index", "content", F.array_join("tags", ",").alias("tags"))
+    """Customers as CSV files of 20 rows with a header that names a column twice, quoted cells with commas, short and long rows."""
+    key = F.col("c_custkey")
+    more = F.when(key % 7 == 3, "").otherwise(F.concat(F.lit(","), "c_name", F.lit(",n"), "c_nationkey", F.when(key % 7 == 5, ",more").otherwise("")))
+    line = F.concat(key, F.lit(',"'), "c_mktsegment", F.lit(", "), "c_nationkey", F.lit('"'), more)
+    lines = table(spark, folder, "customer").groupBy(F.floor(key / 20).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key, line.alias("line")))).alias("lines"))  # 20 rows at most
+    data = F.concat(F.lit("id,label,label,note\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    files = lines.select(F.concat(F.lit("customer/"), "file", F.lit(".csv")).alias("path"), data.alias("data"))
+    return parse.parsed(files).select("file_path", "chunk_index", "content", F.array_join("tags", ",").alias("tags"))
 
 
 @_query("""SELECT 'events/' || event_id || '.json' AS file_path, 0 AS chunk_index, props AS content, 'events/' || event_id || '.json,' || array_to_string(json_keys(props), ',') AS tags FROM events""")
@@ -228,15 +230,39 @@ def python_records(spark: SparkSession, folder: str) -> DataFrame:
     return parse.parsed(files.where("data is not null"))
 
 
-@_query()
+_ELEMENT = """SELECT 'part/' || k || '.py' AS file_path, {0} AS chunk_index, '{{"type": "{1}", {2}, "parent_path": ["__main__"{3}], "source_segment": "{4}", "line_number": {5}{6}}}' AS content, '{1},part/' || k || '.py' AS tags FROM p WHERE k % 10 <> 0"""
+
+
+@_query("WITH p AS (SELECT p_partkey AS k, p_name AS n, p_size AS s FROM part) "
+    + " UNION ALL ".join((
+        _ELEMENT.format(0, "import", '"names": [{"name": "os", "asname": "system"}]', "", "import os as system", 1, ""),
+        _ELEMENT.format(1, "import", """"names": [{"name": "item' || k || '", "asname": null}]""", "", "from store import item' || k || '", 2, ', "module": "store"'),
+        _ELEMENT.format(2, "class", """"name": "Part' || k || '", "full_name": "__main__.Part' || k || '\"""", "", """class Part' || k || ':\\n    \\"\\"\\"' || n || '\\"\\"\\"\\n\\n    def size(self):\\n        return ' || s || '""", 5, """, "docstring": "' || n || '\""""),
+        _ELEMENT.format(3, "function", """"name": "size", "full_name": "__main__.Part' || k || '.size\"""", """, "Part' || k || '\"""", "def size(self):\\n        return ' || s || '", 8, ', "docstring": null'),
+        _ELEMENT.format(4, "async_function", '"name": "load", "full_name": "__main__.load"', "", "async def load(path):\\n    return path", 12, ', "docstring": null'),
+        "SELECT 'part/' || k || '.py', 0, 'def broken' || k || '(:' || chr(10), 'py_syntax_error,part/' || k || '.py' FROM p WHERE k % 10 = 0",
+    )))
+def python_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part as a Python module with imports, a class, its method and an async function; every tenth has a syntax error."""
+    k, n, s = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")
+    lines = ("import os as system\nfrom store import item", k, "\n\n\nclass Part", k, ':\n    """', n, '"""\n\n    def size(self):\n        return ', s, "\n\n\nasync def load(path):\n    return path\n")
+    source = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("def broken"), k, F.lit("(:\n"))).otherwise(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines)))
+    files = table(spark, folder, "part").select(F.concat(F.lit("part/"), k, F.lit(".py")).alias("path"), source.alias("data"))
+    return parse.parsed(files).select("file_path", "chunk_index", "content", F.array_join("tags", ",").alias("tags"))
+
+
+@_query(_CHUNKS + f"""SELECT 'doc/' || doc_id || '.txt' AS file_path, chunk_index, regexp_replace(content, '^{WS_RE2}+|{WS_RE2}+$', '', 'g') AS content,
+'txt_chunk,doc/' || doc_id || '.txt,chunk_' || chunk_index AS tags FROM q""")
 def text_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every corpus text as a text file."""
-    return parse.parsed(table(spark, folder, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("data")))
+    files = table(spark, folder, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("data"))
+    return parse.parsed(files).select("file_path", "chunk_index", "content", F.array_join("tags", ",").alias("tags"))
 
 
-@_query()
+@_query(f"""SELECT id, CASE WHEN regexp_matches(content, '[\\p{{L}}\\p{{N}}]') THEN 'ok' ELSE 'zero' END AS embed_state, CASE WHEN regexp_matches(content, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+FROM queue_items WHERE regexp_replace(content, '{WS_RE2}+', '', 'g') <> ''""")
 def embedded_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Queue items embedded by the stand-in model; vectors of unit length, blank items left out."""
+    """Queue items embedded by the stand-in model; vectors of unit length, those of texts without words zero, blank items left out."""
     rows = embed.embedded(table(spark, folder, "queue_items").select("id", "content"), embed.HashingEmbedder(64), embed.Settings(dim=64))
     return rows.select("id", "embed_state", F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
 
