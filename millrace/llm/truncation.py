@@ -67,20 +67,19 @@ from (select doc_id, lower(trim(source)) as source, char_length(text) as chars,
       from ({PARTS}))
 """
 
-#: Every word of the closed segments with the two before and the one after it.
+#: Every word with the two before and the one after it; not the last word of an open end, which nothing is known to follow.
 TRIGRAMS = f"""
 select t.*
-from (select regexp_extract_all(regexp_replace(regexp_replace(translate(lower(closed), '{EDGE}', ' '), '[0-9]+', '0'), r'{ENDS}', '{EDGE}'), r'{WORDS}|{EDGE}', 0) as w
-      from (select reverse(substr(back, char_length(tail) + 1)) as closed from ({PARTS}))
-      where closed <> '')
+from (select regexp_extract_all(regexp_replace(regexp_replace(translate(lower(body), '{EDGE}', ' '), '[0-9]+', '0'), r'{ENDS}', '{EDGE}'), r'{WORDS}|{EDGE}', 0) as w
+      from (select substr(text, 1, char_length(text) - char_length(regexp_extract(reverse(text), r'{MARK}', 0))) as body from $docs where doc_id is not null and text is not null))
 lateral view inline(arrays_zip(concat(array('{EDGE}', '{EDGE}'), w), concat(array('{EDGE}'), w), w, slice(w, 2, size(w)))) t as a, b, c, d
-where c <> '{EDGE}'
+where c <> '{EDGE}' and d is not null
 """
 
-#: The n-grams of closed segments that may be final ones: their hashes, and whether they end a segment.
-HITS = f"select xxhash64(if(b = '{EDGE}', b, a), b, c) as h3, xxhash64(b, c) as key, cast(coalesce(d, '{EDGE}') = '{EDGE}' as int) as ends from ({TRIGRAMS})"
+#: The n-grams of all texts: their hashes, and whether they end a segment.
+HITS = f"select xxhash64(if(b = '{EDGE}', b, a), b, c) as h3, xxhash64(b, c) as key, cast(d = '{EDGE}' as int) as ends from ({TRIGRAMS})"
 
-#: Counts inside and at the ends of segments, for final n-grams only.
+#: Counts of those that pass the bit map, inside and at the ends of segments.
 COUNTS = """
 select h, count(*) - sum(ends) as inside, sum(ends) as ends
 from (select stack(2, h3, ends, key, ends) as (h, ends) from $hits)
@@ -119,7 +118,7 @@ where n >= {PILE_LEAST} and n >= {PILE_TIMES} * around / (2 * {PILE_AROUND} - 6)
 
 CUT = """
 select j.doc_id, inside3, ends3, inside2, ends2, verdict, broken, coalesce(by_chars.length, by_bytes.length) is not null and (open or marked) as limited,
-       case when broken then 'broken transfer' when coalesce(by_chars.length, by_bytes.length) is not null and (open or marked) then 'field limit' else verdict end as evidence
+       case when broken then 'broken transfer' when verdict is not null then verdict when coalesce(by_chars.length, by_bytes.length) is not null and (open or marked) then 'field limit' end as evidence
 from (select * from $judged where open or marked or broken) j
 left join $limits by_chars on by_chars.unit = 'chars' and by_chars.source <=> j.source and by_chars.length = j.chars
 left join $limits by_bytes on by_bytes.unit = 'bytes' and by_bytes.source <=> j.source and by_bytes.length = j.bytes
