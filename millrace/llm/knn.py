@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.lookup import marked
 from millrace.session import scratch_path, written
 
 TREES, DIMS, LEAF, SAMPLE, CONFIDENCE = 12, 16, 384, 20_000, 0.98
@@ -237,10 +238,24 @@ def nearest(docs: DataFrame, queries: Column, k: int = 5, width: int = 64, id: s
 
     The queries go through all rows in slices of SLICE, each a broadcast of at most SLICE * width numbers and one pass. A task splits its
     rows by a kd-tree over the projections and meets the leaves by their distance; a query skips a leaf when its box is farther than
-    the stopping test of its k-th best similarity so far allows. Null and unusable vectors as in similar_pairs; ties rank by id.
+    the stopping test of its k-th best similarity so far allows. Null and unusable vectors as in similar_pairs; ties (to 6 digits) rank by
+    id. The search itself is in single precision and finds k + 3 rows; their similarities are computed again in double precision.
     """
     rows = written(units(docs, width, id, embedding).select("id", "unit"), "units")
-    return block_search(rows, rows.where(queries), k, width)
+    found = written(block_search(rows, rows.where(queries), k + 3, width).select("id", "neighbour_id"), "found")
+    asked = found.select(F.explode(F.array("id", "neighbour_id")).alias("id"))
+    vectors = marked(docs.where(usable(F.col(embedding), width)).select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("v")), asked, "id")
+
+    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.asarray(batch.column(i).flatten(), np.float64).reshape(-1, width) for i in (2, 3))
+            c = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c)], names=["id", "neighbour_id", "cosine"])
+
+    both = found.join(vectors.withColumnRenamed("v", "v_a"), "id").join(vectors.select(F.col("id").alias("neighbour_id"), F.col("v").alias("v_b")), "neighbour_id")
+    exact = both.select("id", "neighbour_id", "v_a", "v_b").mapInArrow(dot, "id long, neighbour_id long, cosine double").withColumn("cosine", F.round("cosine", 6))
+    ranked = exact.selectExpr("id", "neighbour_id", "cast(row_number() over (partition by id order by cosine desc, neighbour_id) as int) as rank", "cosine")
+    return ranked.where(F.col("rank") <= k)
 
 
 def block_search(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataFrame:

@@ -51,7 +51,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     """Of each test item the number of documents that hold a passage of it."""
     found = leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +91,12 @@ u AS (SELECT id, content, unnest(parts) AS part, generate_subscripts(parts, 1) A
 r AS (SELECT id, content, length(part) AS n, sum(length(part) + 1) OVER (PARTITION BY id, content ORDER BY i) - length(part) - 1 AS start FROM u),
 h AS (SELECT id, content, start FROM r WHERE n > 2000)
 SELECT DISTINCT id, start::BIGINT AS hard_run FROM h UNION SELECT id, -1::BIGINT FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = o.id AND h.content = o.content)""",
+    "p4_neighbours": """WITH ok AS (SELECT id, embedding::DOUBLE[] AS e FROM stored_documents WHERE embedding IS NOT NULL AND len(embedding) = 64
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM ok a JOIN ok b ON a.id <> b.id WHERE a.id % 50 = 0),
+r AS (SELECT id, neighbour_id, (row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour_id))::INT AS rank, cosine FROM p)
+SELECT * FROM r WHERE rank <= 5""",
+    "p6_items": _PASSAGES + "SELECT item_id, count(*) AS documents FROM f GROUP BY 1",
     "p6_found": _PASSAGES + "SELECT doc_id, item_id FROM f",
     "p7_found": """WITH p AS (SELECT min(source) AS name, lower(trim(source)) AS k, max(target_share) AS s, max(max_repeats) AS r FROM mix_plan WHERE target_share > 0 GROUP BY 2),
 t AS (SELECT lower(trim(source)) AS k, sum(length(text)) AS n FROM documents GROUP BY 1), j AS (SELECT name, s, r, coalesce(n, 0) AS n FROM p LEFT JOIN t ON t.k = p.k)
