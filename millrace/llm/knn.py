@@ -157,7 +157,9 @@ def class_pairs(classes: DataFrame, width: int, k: int, min_cosine: float) -> Da
     """(a, b, cosine), a < b: pairs of classes (rep, unit) with at least min_cosine that the trees find among the k nearest of either."""
     count = classes.count()
     depth = min(int(log2(SAMPLE / 8)), max(0, ceil(log2(max(1, count) / LEAF))))
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").toArrow()
+    # the trees' upper splits are fitted on at most SAMPLE rows, drawn by a hash; few more than these leave the tasks
+    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, count // SAMPLE))) == 0)
+    sample = drawn.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").toArrow()
     fitted = [fit_tree(_matrix(sample["unit"], width) @ projection(t, width, DIMS), depth) for t in range(TREES)] if count else []
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
