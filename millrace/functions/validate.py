@@ -93,13 +93,30 @@ def escaped_like(pattern: Column) -> Column:
     return out
 
 
+def normal_path(path: Column) -> Column:
+    """The path without empty and '.' parts and with each 'x/..' taken out; '.' for an empty one, null for null."""
+    absolute = path.startswith("/")
+    up = lambda acc: (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != "..")
+
+    def add(acc: Column, part: Column) -> Column:
+        kept = F.when(up(acc), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(absolute, acc).otherwise(F.concat(acc, F.array(part)))
+        return F.when(part.isin("", "."), acc).when(part == "..", kept).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add)
+    joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
 def path_state(path: Column, extensions: tuple[str, ...] = INPUT_EXTENSIONS) -> Column:
-    """'pattern', 'nul', 'extension', 'system_dir' or 'ok', the first that holds; null for null."""
-    system = F.lit(False)
+    """'pattern', 'nul', 'extension', 'system_dir' or 'ok', the first that holds; null for null.
+
+    Patterns and system directories are looked for in the normal form of the path, so that `a/../b` is no traversal.
+    """
+    normal, system = normal_path(path), F.lit(False)
     for d in SYSTEM_DIRS:
-        system = system | path.startswith(d)
+        system = system | normal.startswith(d)
     return (
-        F.when(path.isNull(), None).when(path.rlike(PATH_PATTERNS), "pattern").when(F.contains(path, F.lit("\0")), "nul").when(~extension(path).isin(*extensions), "extension").when(system, "system_dir").otherwise("ok")
+        F.when(path.isNull(), None).when(normal.rlike(PATH_PATTERNS), "pattern").when(F.contains(path, F.lit("\0")), "nul").when(~extension(path).isin(*extensions), "extension").when(system, "system_dir").otherwise("ok")
     )
 
 
@@ -118,6 +135,17 @@ def looks_like_csv(text: Column) -> Column:
     return head.rlike(r"[,\t;|]") & head.contains("\n")
 
 
+def is_valid_file(path: Column, size: Column, text: Column) -> Column:
+    """A supported extension, at least 10 bytes, and a CSV file's text looks like one; false for null paths and sizes."""
+    ext = extension(path)
+    return F.coalesce(ext.isin(*INPUT_EXTENSIONS) & (size >= 10) & ((ext != "csv") | F.coalesce(looks_like_csv(text), F.lit(False))), F.lit(False))
+
+
+def short_text(text: Column, most: int = 30) -> Column:
+    """Texts of more than `most` characters by their beginning, before an ellipsis."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
 def short_path(path: Column, most: int = 50) -> Column:
     """Paths of more than `most` characters by their end, after an ellipsis."""
     return F.when(F.char_length(path) > most, F.concat(F.lit("..."), F.right(path, F.lit(most - 3)))).otherwise(path)

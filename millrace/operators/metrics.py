@@ -69,3 +69,8 @@ def queue_history(items: DataFrame, seconds: int = 3600) -> DataFrame:
 def folder_stats(files: DataFrame, path: str = "filepath") -> DataFrame:
     """(folder, files, bytes) per parent folder."""
     return files.groupBy(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def exported(stats: DataFrame, path: str) -> None:
+    """Write a small table of statistics as one JSON file under path, replacing what was there."""
+    stats.coalesce(1).write.mode("overwrite").json(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
+from millrace.functions.validate import INPUT_EXTENSIONS, extension
 
 #: A file counts as changed in time if its mtime differs by more than so many seconds.
 MTIME_SLACK = 1.0
@@ -46,6 +47,18 @@ def changes(files: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.select("filepath", (~reason.isin("file_not_found", "already_processed")).alias("should_process"), reason.alias("reason"))
 
 
+def verdicts(changed: DataFrame) -> DataFrame:
+    """(filepath, ready, message) of each file of changes(): whether it may be processed, and what that would mean."""
+    supported = extension(F.col("filepath")).isin(*INPUT_EXTENSIONS)
+    message = (
+        F.when(F.col("reason") == "file_not_found", "File does not exist")
+        .when(~supported, F.concat(F.lit("Unsupported file type: "), extension(F.col("filepath"))))
+        .when(F.col("should_process"), "Ready for processing (new/changed file)")
+        .otherwise("Ready for processing (will reprocess)")
+    )
+    return changed.select("filepath", (supported & (F.col("reason") != "file_not_found")).alias("ready"), message.alias("message"))
+
+
 def change_counts(changed: DataFrame) -> DataFrame:
     """One row of counters; a file that was not found is skipped and counts as an error too."""
     of = lambda *reasons: F.count_if(F.col("reason").isin(*reasons))

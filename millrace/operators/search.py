@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vector
+from millrace.operators.embed import Answerer
 from millrace.session import scratch_path
 
 #: Queries that one pass over all vectors answers (a broadcast of some 30 MB at a width of 64), and those compared at a time.
@@ -130,6 +132,23 @@ def prompt(question: str, contexts: DataFrame) -> DataFrame:
     return contexts.select(F.concat(head, "context", F.lit("\n")).alias("prompt"))
 
 
+def answered(prompts: DataFrame, answerer: Answerer, prompt: str = "prompt") -> DataFrame:
+    """prompts with the column answer of an answering model, which is called in the tasks; null where it fails or the prompt is null."""
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else answerer(text)
+            except Exception:  # noqa: BLE001 - the model's failures are data here
+                return None
+
+        for s in batches:
+            yield pd.Series([one(x) for x in s], dtype=object)
+
+    return prompts.withColumn("answer", ask.asNondeterministic()(F.col(prompt)))
+
+
 def preview(docs: DataFrame, characters: int = 200, id: str = "id", content: str = "content") -> DataFrame:
     """(id, preview): the first characters of each content, with an ellipsis where it goes on; null contents are left out."""
     c = F.col(content)

@@ -8,6 +8,7 @@ that failed before has left nothing that a reader sees, and is simply begun agai
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.config import Settings
 from millrace.operators import embed, parse, registry
 from millrace.operators.embed import Embedder
-from millrace.session import dropped, marked_done, marks, scan
+from millrace.session import counted, dropped, marked_done, marks, scan
 from millrace.sources import files
 
 DOCUMENTS = "id bigint, content string, tags array<string>, created_at timestamp, embedding array<float>, file_path string, chunk_index int, batch int"
@@ -30,6 +31,8 @@ class Store:
 
     spark: SparkSession
     root: str
+    progress: Callable[[str, int, int], None] | None = None
+    """Called with table, batch and rows after each table has been written; the write itself counts them."""
 
     def commits(self) -> dict[int, dict[str, int]]:
         """The version of each table of each committed batch. A batch's marks are numbered; the last one counts."""
@@ -65,7 +68,9 @@ class Store:
         return max(self.commits(), default=0) + 1
 
     def write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name, batch))
+        rows = counted(df, self.path(name, batch))
+        if self.progress:
+            self.progress(name, batch, rows)
         return self.spark.read.schema(df.schema).parquet(self.path(name, batch))
 
     def compact(self, name: str, batch: int, files: int) -> None:
@@ -78,6 +83,15 @@ class Store:
         self.spark.read.parquet(self.path(name, batch, old)).repartition(files).write.mode("overwrite").parquet(self.path(name, batch, old + 1))
         self.commit(batch, versions | {name: old + 1})
 
+    def describe(self) -> DataFrame:
+        """(table, batches, rows, first_batch, last_batch) of what is committed."""
+        tables = {"documents": DOCUMENTS, "dead_letters": DEAD, "registry": REGISTRY}
+        out = None
+        for name, schema in tables.items():
+            part = self._committed(name, schema).agg(F.lit(name).alias("table"), F.count_distinct("batch").alias("batches"), F.count("*").alias("rows"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def vacuum(self) -> None:
         """Delete versions that compact() has replaced, and what only a run itself needed."""
         for batch, versions in self.commits().items():

@@ -338,6 +338,25 @@ def short_paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "file_registry").select("record_no", validate.short_path(F.col("filepath"), 30).alias("shown"))
 
 
+@_query("SELECT record_no, '/data/' || ltrim(filepath, '/') AS path FROM file_registry")
+def normal_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Registered paths below a folder that is written in a roundabout way, brought into normal form."""
+    return table(spark, folder, "file_registry").select("record_no", validate.normal_path(F.concat(F.lit("/../data/./x/y/../..//"), "filepath")).alias("path"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 30 THEN substring(text, 1, 27) || '...' ELSE text END AS shown FROM documents")
+def short_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", validate.short_text(F.col("text")).alias("shown"))
+
+
+@_query("""SELECT id, coalesce(length(content) >= 10 AND (doc = 0 OR (regexp_matches(substring(content, 1, 1024), '[,\\t;|]') AND contains(substring(content, 1, 1024), chr(10)))), false) AS valid
+FROM (SELECT id, content, id % 2 AS doc FROM stored_documents)""")
+def file_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored contents as text files and, every other one, as CSV files: which would be taken."""
+    rows, path = table(spark, folder, "stored_documents"), F.when(F.col("id") % 2 == 0, "a.txt").otherwise("a.CSV")
+    return rows.select("id", validate.is_valid_file(path, F.char_length("content"), F.col("content")).alias("valid"))
+
+
 @_query("""SELECT event_id, CASE WHEN s < 60 THEN printf('%.0fs', s::DOUBLE) WHEN s < 3600 THEN printf('%.1fm', s / 60.0) ELSE printf('%.1fh', s / 3600.0) END AS remaining
 FROM (SELECT event_id, ((event_id * 37) % 20000)::DOUBLE * 3 + 1 AS s FROM events)""")
 def remaining_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -370,6 +389,12 @@ def change_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return registry.changes(*_states(spark, folder))
 
 
+@_query(_CHANGES + f"""SELECT filepath, {_EXT} IN ('py', 'txt', 'csv', 'json') AND reason <> 'file_not_found' AS ready, CASE WHEN reason = 'file_not_found' THEN 'File does not exist'
+WHEN {_EXT} NOT IN ('py', 'txt', 'csv', 'json') THEN 'Unsupported file type: ' || {_EXT} WHEN reason <> 'already_processed' THEN 'Ready for processing (new/changed file)' ELSE 'Ready for processing (will reprocess)' END AS message FROM c""")
+def file_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return registry.verdicts(registry.changes(*_states(spark, folder)))
+
+
 @_query(_CHANGES + """SELECT count(*) AS total_files, count(*) FILTER (reason NOT IN ('file_not_found', 'already_processed')) AS files_to_process, count(*) FILTER (reason IN ('file_not_found', 'already_processed')) AS files_skipped,
 count(*) FILTER (reason = 'new_file') AS new_files, count(*) FILTER (reason = 'size_changed') AS size_changed, count(*) FILTER (reason = 'time_changed') AS time_changed, count(*) FILTER (reason = 'content_changed') AS content_changed,
 count(*) FILTER (reason = 'already_processed') AS already_processed, count(*) FILTER (reason IN ('file_not_found', 'error_checking')) AS error_files FROM c""")

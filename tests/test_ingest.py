@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
-from millrace.operators import embed
+from millrace.operators import embed, metrics
 from millrace.plans.ingest import Store, ingest, to_process
 from millrace.sources import files
 from millrace.sources.files import listing
@@ -79,6 +79,16 @@ def test_a_run_that_fails_anywhere_is_repeated_without_trace(spark, tmp_path, mo
     assert ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL).first().files == 0
 
 
+def test_progress_and_description(spark, tmp_path):
+    seen = []
+    root, store = folder(tmp_path), Store(spark, str(tmp_path / "store"), lambda *x: seen.append(x))
+    ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL)
+    assert seen == [("staged", 1, 4), ("records", 1, 5), ("embedded", 1, 5), ("documents", 1, 5), ("dead_letters", 1, 0), ("registry", 1, 4)]
+    assert {(r.table, r.batches, r.rows) for r in store.describe().collect()} == {("documents", 1, 5), ("dead_letters", 0, 0), ("registry", 1, 4)}
+    metrics.exported(store.describe(), str(tmp_path / "stats"))
+    assert spark.read.json(str(tmp_path / "stats")).count() == 3
+
+
 def test_readers_work_while_a_batch_is_compacted(spark, tmp_path, monkeypatch):
     root, store = folder(tmp_path), Store(spark, str(tmp_path / "store"))
     ingest(store, listing(spark, root), embed.HashingEmbedder(16), SMALL)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,11 @@ def test_guards_and_settings():
     assert Settings(relevance_threshold=0.0).relevance_threshold == 0.0
     assert Settings.from_env({"MILLRACE_TOP_K": "7", "MILLRACE_RELEVANCE_THRESHOLD": "0.5"}) == Settings(top_k=7, relevance_threshold=0.5)
     assert [retry_delay(n) for n in range(7)] == [1, 2, 4, 8, 16, 30, 30]
+
+
+def test_normal_paths_are_those_of_the_standard_library(spark):
+    paths = ["a/../b", "../a", "a/./b//c", "/../etc/x", "", "/", ".", "a/b/../../..", "../../x/..", "x/", "/a/..", "é/../ü"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.n for r in rows.select("p", validate.normal_path(F.col("p")).alias("n")).collect()} == {p: os.path.normpath(p) for p in paths}
+    state = {r.p: r.s for r in rows.select("p", validate.path_state(F.concat("p", F.lit("/f.txt"))).alias("s")).collect()}
+    assert state["a/../b"] == "ok" and state["../a"] == "pattern" and state["/../etc/x"] == "pattern"

@@ -84,3 +84,13 @@ def test_states_and_metrics(docs):
 @pytest.mark.parametrize("text,want", [("[1, 2.5,-3e1]", [1.0, 2.5, -30.0]), ("[1,x]", None), ("1,2", None), ("[]", None), (None, None), ("[1,,2]", None), (" [1] ", [1.0])])
 def test_parsed(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(vector.parsed(F.col("t")).alias("v")).first().v == want
+
+
+def test_answers_come_from_the_model_or_are_null(spark):
+    def model(prompt):
+        if "fail" in prompt:
+            raise ValueError("no")
+        return prompt.upper()
+
+    rows = spark.createDataFrame([("a",), ("fail",), (None,)], "prompt string")
+    assert {(r.prompt, r.answer) for r in search.answered(rows, model).collect()} == {("a", "A"), ("fail", None), (None, None)}
