@@ -13,6 +13,7 @@ are made only where nothing else fits.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,9 @@ def cut_positions(text: str, limit: int, overlap: int) -> tuple[list[int], list[
 def long_run_starts(text: str, ends: list[int], longest: int) -> list[int]:
     """For each cut, the start of the run of more than `longest` characters without white space that it lies in; else -1."""
     runs = [(m.start(), m.end()) for m in _RUN.finditer(text) if m.end() - m.start() > longest]
-    return [next((a for a, b in runs if a < e < b), -1) for e in ends]
+    starts = [a for a, _ in runs]
+    before = [bisect_left(starts, e) - 1 for e in ends]  # the last run that begins before the cut
+    return [starts[i] if i >= 0 and e < runs[i][1] else -1 for i, e in zip(before, ends)]
 
 
 def _oversized(items: DataFrame, content: str, limit_tokens: int) -> DataFrame:
