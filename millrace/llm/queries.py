@@ -20,6 +20,15 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_items(table(spark, folder, "queue_items"))
 
 
+def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each item amount to: its characters, whether they cover it with the overlap asked for, and whether each is
+    within the limit."""
+    pieces = split.split_items(table(spark, folder, "queue_items")).groupBy("item_id").agg(
+        F.max("end").cast("long").alias("characters"), (F.sum(F.col("end") - F.col("start")) - 128 * (F.count("*") - 1) == F.max("end")).alias("covered"), (F.max(F.char_length("text")) < 2004).alias("within")
+    )
+    return pieces
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return records.record_copies(table(spark, folder, "stored_documents"))
 
@@ -32,6 +41,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return batches.repeats(table(spark, folder, "stored_documents"), table(spark, folder, "file_registry"), width=3, similarity=0.5, bands=64, rows_per_band=3)
 
 
+def p3_files(spark: SparkSession, folder: str) -> DataFrame:
+    return batches.repeated_files(table(spark, folder, "file_registry"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return knn.similar_pairs(table(spark, folder, "stored_documents"))
 
@@ -74,7 +87,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p3_found, p4_found, p4_neighbours, p5_found, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p2_records, p3_found, p3_files, p4_found, p4_neighbours, p5_found, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_rates)}
 
 _PASSAGES = r"""WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(w[p : p + least(len(w), 12) - 1], ' ') AS g FROM i, unnest(range(1, len(w) - least(len(w), 12) + 2)) AS r(p) WHERE len(w) > 0),
@@ -83,6 +96,12 @@ dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[p : p + n - 1], ' ') AS g FR
 f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
 """
 
+_COSINES = """WITH ok AS (SELECT id, embedding::DOUBLE[] AS e FROM stored_documents WHERE embedding IS NOT NULL AND len(embedding) = 64
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM ok a JOIN ok b ON a.id <> b.id WHERE {}),
+r AS (SELECT id, neighbour_id, (row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour_id))::INT AS rank, cosine FROM p)
+"""
+
 #: SQL states what a query finds, not how. The tokens of problem 7 are replaced by characters, which give the same list.
 ORACLE_SQL: dict[str, str] = {
     "p1_found": f"""WITH o AS (SELECT DISTINCT id, content FROM queue_items WHERE regexp_replace(content, '{WS_RE2}+', '', 'g') <> '' AND length(content) // 4 > 500),
@@ -91,11 +110,12 @@ u AS (SELECT id, content, unnest(parts) AS part, generate_subscripts(parts, 1) A
 r AS (SELECT id, content, length(part) AS n, sum(length(part) + 1) OVER (PARTITION BY id, content ORDER BY i) - length(part) - 1 AS start FROM u),
 h AS (SELECT id, content, start FROM r WHERE n > 2000)
 SELECT DISTINCT id, start::BIGINT AS hard_run FROM h UNION SELECT id, -1::BIGINT FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = o.id AND h.content = o.content)""",
-    "p4_neighbours": """WITH ok AS (SELECT id, embedding::DOUBLE[] AS e FROM stored_documents WHERE embedding IS NOT NULL AND len(embedding) = 64
-AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM ok a JOIN ok b ON a.id <> b.id WHERE a.id % 50 = 0),
-r AS (SELECT id, neighbour_id, (row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour_id))::INT AS rank, cosine FROM p)
-SELECT * FROM r WHERE rank <= 5""",
+    "p1_coverage": f"SELECT DISTINCT id AS item_id, length(content) AS characters, true AS covered, true AS within FROM queue_items WHERE regexp_replace(content, '{WS_RE2}+', '', 'g') <> ''",
+    "p3_files": f"""WITH s AS (SELECT record_no, coalesce(batch_no, 0) AS b, lower(regexp_replace(checksum, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')) AS c FROM file_registry),
+f AS (SELECT c, min(record_no) AS first_key FROM s WHERE c <> '' GROUP BY c)
+SELECT DISTINCT first_key, record_no AS later_key FROM s JOIN f ON s.c = f.c WHERE b >= 1 AND record_no > first_key""",
+    "p4_found": _COSINES.format("true") + "SELECT DISTINCT least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM r WHERE rank <= 5 AND cosine >= 0.9",
+    "p4_neighbours": _COSINES.format("a.id % 50 = 0") + "SELECT * FROM r WHERE rank <= 5",
     "p6_items": _PASSAGES + "SELECT item_id, count(*) AS documents FROM f GROUP BY 1",
     "p6_found": _PASSAGES + "SELECT doc_id, item_id FROM f",
     "p7_found": """WITH p AS (SELECT min(source) AS name, lower(trim(source)) AS k, max(target_share) AS s, max(max_repeats) AS r FROM mix_plan WHERE target_share > 0 GROUP BY 2),
