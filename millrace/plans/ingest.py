@@ -118,10 +118,13 @@ def to_process(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def ingest(store: Store, listing: DataFrame, embedder: Embedder, settings: Settings = Settings(), batch: int | None = None) -> DataFrame:
-    """One run over a listing of files; returns its summary: (files, records, stored, dead, batch)."""
+    """One run over a listing of files; returns its summary: (files, records, stored, dead, batch). Where no file is new or has changed,
+    nothing is committed."""
     batch = batch or store.next_batch()
     chosen = to_process(listing, store.registry())
     staged = store.write(chosen.where("data is not null").select("path", "size", "mtime", "checksum", "data", "reason"), "staged", batch)
+    if staged.isEmpty():
+        return store.spark.createDataFrame([(0, 0, 0, 0, batch)], "files long, records long, stored long, dead long, batch int")
     records = store.write(parse.parsed(staged).select("file_path", "chunk_index", "content", "tags"), "records", batch)
     good, dead = embed.split(store.write(embed.embedded(records, embedder, settings), "embedded", batch))
     ident = F.xxhash64("file_path", "chunk_index", "content").alias("id")

@@ -1,4 +1,4 @@
-"""Ingest of queue items as a stream: files of items that arrive in a folder are embedded and stored, each micro-batch once."""
+"""Ingest as streams: queue items that arrive in a folder are embedded and stored, each micro-batch once; a folder of files is watched."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from millrace.config import Settings
 from millrace.operators import embed
 from millrace.operators.embed import Embedder
 from millrace.operators.lookup import marked
+from millrace.plans.ingest import Store, ingest
 from millrace.session import scan
+from millrace.sources.files import listing
 
 #: Parts of the ids that were stored.
 PARTS = 16
@@ -51,6 +53,22 @@ def embed_stream(items: DataFrame, embedder: Embedder, out: str, checkpoint: str
     return items.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch_folder(store: Store, root: str, embedder: Embedder, checkpoint: str, settings: Settings = Settings(), every: str = "1 minute", once: bool = False) -> StreamingQuery:
+    """Ingest a folder of files again and again: a stream of ticks, each of which runs the folder pipeline over a new listing.
+
+    A file source would see each path once; here changed files are found by the comparison with the registry, and a run is exactly
+    once by its commit, whatever becomes of a tick. A tick without new or changed files stores nothing. once: one tick, then the end.
+    """
+    spark = store.spark
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+    def run(rows: DataFrame, number: int) -> None:
+        ingest(store, listing(spark, root), embedder, settings)
+
+    writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def windowed_counts(events: DataFrame, at: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, key, n) of an event stream per time window; a window is final once events are `late` beyond its end."""
     counts = events.withWatermark(at, late).groupBy(F.window(at, window), F.col(key).alias("key")).agg(F.count("*").alias("n"))

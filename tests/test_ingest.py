@@ -10,7 +10,7 @@ from millrace.operators import embed, metrics
 from millrace.plans.ingest import Store, ingest, to_process
 from millrace.sources import files
 from millrace.sources.files import listing
-from millrace.streaming.ingest import embed_stream, item_stream, windowed_counts
+from millrace.streaming.ingest import embed_stream, item_stream, watch_folder, windowed_counts
 
 SMALL = Settings(dim=16, retry_seconds=0.0)
 
@@ -160,6 +160,19 @@ def test_stream_stores_each_item_once(spark, tmp_path, data):
     assert stored == {r.id for r in items.collect() if r.id and r.content and r.content.strip()}
 
 
+def test_a_watched_folder(spark, tmp_path):
+    root, store = folder(tmp_path), Store(spark, str(tmp_path / "store"))
+    tick = lambda: watch_folder(store, root, embed.HashingEmbedder(16), str(tmp_path / "mark"), SMALL, once=True).awaitTermination()
+    tick()
+    assert store.documents().count() == 5
+    tick()  # nothing new
+    assert sorted(store.commits()) == [1]
+    write(root, "a.txt", "changed words here")
+    write(root, "sub/new.txt", "new words")
+    tick()
+    assert store.documents().count() == 7 and sorted(store.commits()) == [1, 2]
+
+
 def test_windowed_counts_of_a_stream(spark, tmp_path, data):
     events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     src = str(tmp_path / "events")
