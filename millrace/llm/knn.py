@@ -2,8 +2,8 @@
 
 Unit vectors are mapped to a few dimensions by stable (Gaussian) projections: the squared projected distance of two vectors,
 divided by their squared distance, is chi-square distributed with as many degrees of freedom as there are dimensions. Each
-projection has a kd-tree whose upper splits are fitted on a bounded sample (SAMPLE rows); every vector is put into a leaf of every
-tree. Within a leaf a vector meets its neighbours in the order of projected distance and verifies them, until the next one is so
+projection has a kd-tree whose upper splits are fitted on a bounded sample (SAMPLE rows), and whose lower ones in the tasks on samples of
+each cell (SPLITS in all); every vector is put into a leaf of every tree. Within a leaf a vector meets its neighbours in the order of projected distance and verifies them, until the next one is so
 far away that a closer vector would have been met with probability CONFIDENCE (chi-square test on the k-th best distance so far,
 or on the largest distance asked for).
 
@@ -36,6 +36,9 @@ from millrace.session import scratch_path, written
 
 TREES, DIMS, LEAF, SAMPLE, CONFIDENCE = 12, 16, 384, 20_000, 0.98
 
+#: Splits of all trees that are broadcast, at most (5 bytes each); bits that number the cells of a tree.
+SPLITS, TREE_BITS = 1 << 22, 40
+
 #: Queries that one pass over all rows answers (as a broadcast of some 20 MB at a width of 64), and those compared at a time.
 SLICE, BLOCK = 65_536, 4096
 
@@ -97,6 +100,23 @@ def leaf_of(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return node
 
 
+def lower_trees(placed: DataFrame, trees: int, depth: int, extra: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Split dimensions and values [tree, cell, node] of a further kd-tree of `extra` levels inside each cell of trees of a depth,
+    fitted in the tasks on the sampled rows placed (cell, rep, code); at most SPLITS of them reach the driver."""
+
+    def fit(cell: pa.Table) -> pa.Table:
+        number = int(cell["cell"][0].as_py())
+        dim, value = fit_tree(_vectors(cell["code"], width) @ projection(number >> TREE_BITS, width, DIMS), extra)
+        return pa.table({"cell": [number], "dim": [dim.astype("u1").tobytes()], "value": [value.astype("<f4").tobytes()]})
+
+    rows = placed.groupBy("cell").applyInArrow(fit, "cell long, dim binary, value binary").toArrow()
+    dim, value = np.zeros((trees, 1 << depth, 1 << extra), "u1"), np.zeros((trees, 1 << depth, 1 << extra), "<f4")
+    for number, d, v in zip(*(rows[c].to_pylist() for c in ("cell", "dim", "value"))):
+        t, node = number >> TREE_BITS, (number & ((1 << TREE_BITS) - 1)) - (1 << depth)
+        dim[t, node], value[t, node] = np.frombuffer(d, "u1"), np.frombuffer(v, "<f4")
+    return dim, value
+
+
 def local_leaves(points: np.ndarray, most: int) -> list[np.ndarray]:
     """The rows of each leaf of a kd-tree over these points; equal points are halved too."""
     todo, out = [np.arange(len(points))], []
@@ -153,30 +173,56 @@ def _codes(u: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 127).astype(np.int8)]
 
 
+def _vectors(codes: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Unit vectors of codes."""
+    v = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def class_pairs(classes: DataFrame, width: int, k: int, min_cosine: float) -> DataFrame:
     """(a, b, cosine), a < b: pairs of classes (rep, unit) with at least min_cosine that the trees find among the k nearest of either."""
-    count = classes.count()
-    depth = min(int(log2(SAMPLE / 8)), max(0, ceil(log2(max(1, count) / LEAF))))
+    count, spark = classes.count(), classes.sparkSession
+    levels = max(0, ceil(log2(max(1, count) / LEAF)))
+    depth = min(int(log2(SAMPLE / 8)), levels)
+    # further levels are fitted in the tasks, on about 8 rows a leaf, as far as SPLITS allows
+    extra = min(levels - depth, max(0, int(log2(SPLITS / TREES)) - depth))
     # the trees' upper splits are fitted on at most SAMPLE rows, drawn by a hash; few more than these leave the tasks
     drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, count // SAMPLE))) == 0)
     sample = drawn.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").toArrow()
     fitted = [fit_tree(_matrix(sample["unit"], width) @ projection(t, width, DIMS), depth) for t in range(TREES)] if count else []
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, code = _matrix(batch.column(1), width), pa.array(_codes(_matrix(batch.column(1), width)), pa.binary())
-            for t, tree in enumerate(fitted):
-                cell = leaf_of(u @ projection(t, width, DIMS), tree) + (t << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), code], names=["cell", "rep", "code"])
+    def placed(rows: DataFrame, lower=None) -> DataFrame:
+        """(cell, rep, code) of rows in every tree. lower: a broadcast of the splits below the cells of the upper trees."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                u = _matrix(batch.column(1), width)
+                code, at = pa.array(_codes(u), pa.binary()), np.arange(len(u))
+                for t, tree in enumerate(fitted):
+                    points = u @ projection(t, width, DIMS)
+                    cell = leaf_of(points, tree)
+                    if lower is not None:
+                        dim, value = (x[t] for x in lower.value)
+                        upper, node = cell - (1 << depth), np.ones(len(u), np.int64)
+                        for _ in range(extra):
+                            node = 2 * node + (points[at, dim[upper, node]] > value[upper, node])
+                        cell = (cell << extra) + node - (1 << extra)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell + (t << TREE_BITS)), batch.column(0), code], names=["cell", "rep", "code"])
+
+        return rows.select("rep", "unit").mapInArrow(place, "cell long, rep long, code binary")
+
+    lower = None
+    if extra:
+        some = classes.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(max(1, count // (8 << (depth + extra))))) == 0)
+        lower = spark.sparkContext.broadcast(lower_trees(placed(some), TREES, depth, extra, width))
 
     slack = 0.03  # for the rounding of the codes
     farthest, factor = 2 - 2 * min_cosine + slack, chi_square(CONFIDENCE, DIMS)
 
     def meet(cell: pa.Table) -> pa.Table:
         ids = cell["rep"].to_numpy()
-        v = np.frombuffer(b"".join(cell["code"].to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-        p = v @ projection(int(cell["cell"][0].as_py()) >> 32, width, DIMS)
+        v = _vectors(cell["code"], width)
+        p = v @ projection(int(cell["cell"][0].as_py()) >> TREE_BITS, width, DIMS)
         a, b, dense = [], [], []
         for rows in local_leaves(p, 2 * LEAF):
             q, x, full = leaf_neighbours(v[rows], p[rows], k + 3, farthest, factor)
@@ -186,9 +232,8 @@ def class_pairs(classes: DataFrame, width: int, k: int, min_cosine: float) -> Da
         return pa.table({"a": low, "b": pa.array(high, mask=np.arange(len(low)) >= len(a))})
 
     # as many partitions as the rows ask for, each of some 100,000: what a task reads does not grow with the table
-    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(count * TREES / 100_000))
-    placed = classes.select("rep", "unit").mapInArrow(place, "cell long, rep long, code binary").repartition(tasks, "cell")
-    pairs = written(placed.groupBy("cell").applyInArrow(meet, "a long, b long").distinct(), "pairs")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(count * TREES / 100_000))
+    pairs = written(placed(classes, lower).repartition(tasks, "cell").groupBy("cell").applyInArrow(meet, "a long, b long").distinct(), "pairs")
     vectors = classes.select(F.col("rep").alias("id"), "unit")
     dense = written(vectors.join(pairs.where("b is null").select(F.col("a").alias("id")), "id", "left_semi"), "dense")
     pairs = pairs.where("b is not null")
@@ -239,9 +284,8 @@ def nearest(docs: DataFrame, queries: Column, k: int = 5, width: int = 64, id: s
     """(id, neighbour_id, rank, cosine): the k most similar other rows of each row for which `queries`, a condition on id, holds.
 
     The queries go through all rows in slices of SLICE, each a broadcast of at most SLICE * width numbers and one pass. A task splits its
-    rows by a kd-tree over the projections and meets the leaves by their distance; a query skips a leaf when its box is farther than
-    the stopping test of its k-th best similarity so far allows. Null and unusable vectors as in similar_pairs; ties (to 6 digits) rank by
-    id. The search itself is in single precision and finds k + 3 rows; their similarities are computed again in double precision.
+    rows by a kd-tree over the projections and goes through the leaves; a query skips a leaf when its box is farther than the stopping
+    test of its k-th best similarity so far allows. Null and unusable vectors as in similar_pairs; ties (to 6 digits) rank by id. The search itself is in single precision and finds k + 3 rows; their similarities are computed again in double precision.
     """
     rows = written(units(docs, width, id, embedding).select("id", "unit"), "units")
     found = written(block_search(rows, rows.where(queries), k + 3, width).select("id", "neighbour_id"), "found")

@@ -53,6 +53,18 @@ def test_copies_are_one_class(spark):
     assert got == want and len(got) == 15 + 5 * 14 + 0  # every copy with the first five others
 
 
+def test_cells_split_further_in_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 48)
+    monkeypatch.setattr(knn, "SAMPLE", 160)  # upper trees of 4 levels; two more are fitted in the tasks
+    fitted = []
+    lower = knn.lower_trees
+    monkeypatch.setattr(knn, "lower_trees", lambda *a: fitted.append(a[2:4]) or lower(*a))
+    v = vectors()
+    want, _ = brute(v)
+    got = {(r.id_a, r.id_b) for r in knn.similar_pairs(frame(spark, v, BAD).repartition(5)).collect()}
+    assert fitted == [(4, 2)] and len(got & want) >= 0.95 * len(want) > 500 and len(got - want) <= 0.01 * len(want)
+
+
 def test_a_third_in_one_dense_cluster(spark, monkeypatch):
     monkeypatch.setattr(knn, "LEAF", 32)  # as many leaves in the cluster as LEAF gives one of 24,000
     rng = np.random.default_rng(4)
